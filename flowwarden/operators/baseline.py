@@ -68,24 +68,41 @@ def fit_baseline(flows: DataFrame, normal_only: bool = True) -> Baseline:
     )
 
 
+def _measures(start: Baseline) -> dict[str, Column]:
+    """Sums that give the moments, taken around the baseline mean so that a large offset
+    costs no precision."""
+    shifted = {f: F.col(f).cast("double") - F.lit(float(start.mean[f])) for f in S.FEATURES}
+    measures = {"_n": F.lit(1.0)}
+    measures |= {f"_a_{f}": c for f, c in shifted.items()}
+    measures |= {f"_b_{f}": c * c for f, c in shifted.items()}
+    return measures
+
+
+def moment_sums(flows: DataFrame, keys: Sequence[str], start: Baseline = NO_BASELINE) -> DataFrame:
+    """The sums of a batch per key: what a later batch carries on from."""
+    return flows.groupBy(*keys).agg(*[F.sum(c).alias(n) for n, c in _measures(start).items()])
+
+
 def prior_moments(
     flows: DataFrame,
     start: Baseline = NO_BASELINE,
     keys: Sequence[str] = (),
     bounds: Sequence[int] | None = None,
+    carried: DataFrame | None = None,
 ) -> DataFrame:
     """Per flow: prior_n, prior_mean_<f>, prior_std_<f> over the baseline and all
     earlier flows (of the same keys, if given) in (ts_us, md5(uid)) order.
 
-    Sums are taken around the baseline mean, so a large offset costs no precision.
+    `carried` holds the sums of earlier batches per key.
     """
-    shifted = {f: F.col(f).cast("double") - F.lit(float(start.mean[f])) for f in S.FEATURES}
-    measures = {"_n": F.lit(1.0)}
-    measures |= {f"_a_{f}": c for f, c in shifted.items()}
-    measures |= {f"_b_{f}": c * c for f, c in shifted.items()}
-    summed = running_totals(flows, "ts_us", "uid", measures, keys, bounds)
-    n = F.col("_n") + F.lit(float(start.count))
-    rows = summed.withColumn("prior_n", n)
+    names = list(_measures(start))
+    summed = running_totals(flows, "ts_us", "uid", _measures(start), keys, bounds)
+    if carried is not None:
+        old = carried.select(*keys, *[F.col(n).alias(f"_old{n}") for n in names])
+        summed = summed.join(old, list(keys), "left").withColumns(
+            {n: F.col(n) + F.coalesce(f"_old{n}", F.lit(0.0)) for n in names}
+        )
+    rows = summed.withColumn("prior_n", F.col("_n") + F.lit(float(start.count)))
     result = {}
     for f in S.FEATURES:
         delta = F.try_divide(F.col(f"_a_{f}"), F.col("prior_n"))
@@ -95,7 +112,8 @@ def prior_moments(
         spread = F.greatest(square - delta * delta, F.lit(0.0))
         result[f"prior_mean_{f}"] = F.coalesce(F.lit(float(start.mean[f])) + delta, F.lit(0.0))
         result[f"prior_std_{f}"] = F.when(F.col("prior_n") > 1, F.sqrt(spread)).otherwise(0.0)
-    return rows.withColumns(result).drop(*measures)
+    moments_of = list(result)
+    return rows.withColumns(result).select(*flows.columns, "prior_n", *moments_of)
 
 
 def frozen_moments(flows: DataFrame, baseline: Baseline) -> DataFrame:

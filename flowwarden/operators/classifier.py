@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     RandomForestClassificationModel,
     RandomForestClassifier,
@@ -23,7 +25,9 @@ from flowwarden.operators.slices import hash_rank
 from flowwarden.session import stored
 
 TREES = 200
-MAX_DEPTH = 30  # the deepest tree Spark ML allows
+# Trees of unlimited depth grow with the data until the model no longer fits in memory;
+# twelve levels bound a forest at 200 x 8191 nodes. Spark ML allows up to 30.
+MAX_DEPTH = 12
 MIN_LEAF = 2
 FOLDS = 3
 SEED = 42
@@ -110,6 +114,7 @@ def _forest(trees: int, depth: int) -> RandomForestClassifier:
         minInstancesPerNode=MIN_LEAF,
         seed=SEED,
         maxMemoryInMB=1024,
+        cacheNodeIds=True,
     )
 
 
@@ -141,12 +146,15 @@ def train_classifier(
     learner = _forest(trees, max_depth)
     if k < 2:
         return Classifier(scaler, classes, [learner.fit(ready)])
-    forests, curves = [], []
-    for i in range(k):
+
+    def fit_fold(i: int) -> tuple[RandomForestClassificationModel, dict]:
         forest = learner.fit(ready.where(F.col("fold") != i))
-        forests.append(forest)
-        curves.append(_calibrate(forest, ready.where(F.col("fold") == i), classes))
-    return Classifier(scaler, classes, forests, curves)
+        return forest, _calibrate(forest, ready.where(F.col("fold") == i), classes)
+
+    task = inheritable_thread_target(flows.sparkSession)(fit_fold)
+    with ThreadPool(k) as pool:  # the folds are independent jobs
+        fitted = pool.map(task, range(k))
+    return Classifier(scaler, classes, [f for f, _ in fitted], [c for _, c in fitted])
 
 
 def _calibrate(

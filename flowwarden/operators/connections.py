@@ -20,7 +20,7 @@ def broadcast_target() -> Column:
     return (F.col("resp_p") == 20000) & (F.col("resp_h") == "255.255.255.255")
 
 
-def _pieces(messages: DataFrame, bounds: Sequence[int] | None) -> DataFrame:
+def pieces(messages: DataFrame, bounds: Sequence[int] | None = None) -> DataFrame:
     """One row per connection and time slice; a busy connection spans many slices."""
     groups = ["uid", *SLICE]
     within = Window.partitionBy(groups).orderBy("t_us")
@@ -38,87 +38,87 @@ def _pieces(messages: DataFrame, bounds: Sequence[int] | None) -> DataFrame:
             F.count_if(~F.col("is_orig")).alias("resp_pkts"),
             F.sum(F.when(F.col("is_orig"), F.col("bytes")).otherwise(0)).alias("orig_bytes"),
             F.sum(F.when(F.col("is_orig"), 0).otherwise(F.col("bytes"))).alias("resp_bytes"),
-            F.collect_set("fc").alias("codes"),  # a code is one byte: at most 256
+            F.array_sort(F.collect_set("fc")).alias("function_codes"),  # one byte: at most 256
             F.bool_or(broadcast_target()).alias("is_broadcast"),
             F.count_if("is_error").alias("error_count"),
             F.count("gap").alias("gaps"),
             F.coalesce(F.avg("gap"), F.lit(0.0)).alias("gap_mean"),
             F.coalesce(F.var_pop("gap"), F.lit(0.0)).alias("gap_var"),
-            F.count_if(F.col("gap") < BURST_GAP_US).alias("bursts"),
+            F.count_if(F.col("gap") < BURST_GAP_US).alias("burst_count"),
         )
+        .drop(*SLICE)
     )
 
 
-def connections(messages: DataFrame, bounds: Sequence[int] | None = None) -> DataFrame:
-    """Summarise the messages of each connection (`uid`).
+def merge_pieces(parts: DataFrame) -> DataFrame:
+    """One piece per connection. Pieces of a connection must not overlap in time.
 
-    Gaps are taken inside time slices and across their borders, so the messages of one
-    connection are never sorted in a single task. Deviations are merged around the
+    The gap between neighbouring pieces is added; deviations are merged around the
     connection's own mean gap.
     """
     by_uid = Window.partitionBy("uid")
-    joint = F.col("first_us") - F.lag("last_us").over(by_uid.orderBy(SLICE))
+    joint = F.col("first_us") - F.lag("last_us").over(by_uid.orderBy("first_us", "last_us"))
     n = F.col("gaps") + F.when(F.col("joint").isNull(), 0).otherwise(1)
     total = F.col("gaps") * F.col("gap_mean") + F.coalesce("joint", F.lit(0))
     spread = F.col("gaps") * (
-        F.col("gap_var") + F.pow(F.col("gap_mean") - F.col("mean_us"), 2)
-    ) + F.coalesce(F.pow(F.col("joint") - F.col("mean_us"), 2), F.lit(0.0))
-    pieces = (
-        _pieces(messages, bounds)
-        .withColumn("joint", joint)
+        F.col("gap_var") + F.pow(F.col("gap_mean") - F.col("_mean"), 2)
+    ) + F.coalesce(F.pow(F.col("joint") - F.col("_mean"), 2), F.lit(0.0))
+    bursts = F.col("burst_count") + F.when(F.col("joint") < BURST_GAP_US, 1).otherwise(0)
+    linked = (
+        parts.withColumn("joint", joint)
         .withColumns({"_n": F.sum(n).over(by_uid), "_t": F.sum(total).over(by_uid)})
-        .withColumn("mean_us", F.coalesce(F.try_divide("_t", "_n"), F.lit(0.0)))
+        .withColumn("_mean", F.coalesce(F.try_divide("_t", "_n"), F.lit(0.0)))
     )
-    return (
-        pieces.groupBy("uid")
-        .agg(
-            F.min("first_us").alias("t_us"),
-            F.max("last_us").alias("end_us"),
-            F.min("orig_h").alias("orig_h"),
-            F.min("resp_h").alias("resp_h"),
-            F.min("resp_p").alias("resp_p"),
-            F.sum("orig_pkts").alias("orig_pkts"),
-            F.sum("resp_pkts").alias("resp_pkts"),
-            F.sum("orig_bytes").alias("orig_bytes"),
-            F.sum("resp_bytes").alias("resp_bytes"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias(
-                "function_codes"
-            ),
-            F.bool_or("is_broadcast").alias("is_broadcast"),
-            F.first("mean_us").alias("mean_us"),
-            F.sum(spread).alias("spread"),
-            F.first("_n").alias("n"),
-            F.sum(
-                F.col("bursts") + F.when(F.col("joint") < BURST_GAP_US, 1).otherwise(0)
-            ).alias("burst_count"),
-            F.sum("error_count").alias("error_count"),
-        )
-        .select(
-            "uid",
-            "t_us",
-            "orig_h",
-            "resp_h",
-            "resp_p",
-            ((F.col("end_us") - F.col("t_us")) / 1e6).alias("duration"),
-            "orig_pkts",
-            "resp_pkts",
-            "orig_bytes",
-            "resp_bytes",
-            "function_codes",
-            F.size("function_codes").cast("bigint").alias("unique_fc_count"),
-            F.col("orig_pkts").alias("request_count"),
-            F.col("resp_pkts").alias("response_count"),
-            "is_broadcast",
-            (F.col("mean_us") / 1e6).alias("inter_arrival_mean"),
-            F.coalesce(F.sqrt(F.try_divide("spread", "n")) / 1e6, F.lit(0.0)).alias(
-                "inter_arrival_std"
-            ),
-            "burst_count",
-            "error_count",
-        )
+    codes = F.array_sort(F.array_distinct(F.flatten(F.collect_list("function_codes"))))
+    added = ["orig_pkts", "resp_pkts", "orig_bytes", "resp_bytes", "error_count"]
+    return linked.groupBy("uid").agg(
+        F.min("first_us").alias("first_us"),
+        F.max("last_us").alias("last_us"),
+        *[F.min(c).alias(c) for c in ("orig_h", "resp_h", "resp_p")],
+        *[F.sum(c).alias(c) for c in added],
+        codes.alias("function_codes"),
+        F.bool_or("is_broadcast").alias("is_broadcast"),
+        F.first("_n").alias("gaps"),
+        F.first("_mean").alias("gap_mean"),
+        F.coalesce(F.try_divide(F.sum(spread), F.first("_n")), F.lit(0.0)).alias("gap_var"),
+        F.sum(bursts).alias("burst_count"),
     )
 
 
+def summarise(merged: DataFrame) -> DataFrame:
+    """Connection records from merged pieces."""
+    return merged.select(
+        "uid",
+        F.col("first_us").alias("t_us"),
+        "orig_h",
+        "resp_h",
+        "resp_p",
+        ((F.col("last_us") - F.col("first_us")) / 1e6).alias("duration"),
+        "orig_pkts",
+        "resp_pkts",
+        "orig_bytes",
+        "resp_bytes",
+        "function_codes",
+        F.size("function_codes").cast("bigint").alias("unique_fc_count"),
+        F.col("orig_pkts").alias("request_count"),
+        F.col("resp_pkts").alias("response_count"),
+        "is_broadcast",
+        (F.col("gap_mean") / 1e6).alias("inter_arrival_mean"),
+        (F.sqrt("gap_var") / 1e6).alias("inter_arrival_std"),
+        "burst_count",
+        "error_count",
+    )
+
+
+def connections(messages: DataFrame, bounds: Sequence[int] | None = None) -> DataFrame:
+    """Summarise the messages of each connection (`uid`).
+
+    Gaps are taken inside time slices and across their borders, so the messages of one
+    connection are never sorted in a single task.
+    """
+    return summarise(merge_pieces(pieces(messages, bounds)))
+
+
 def code_histogram(messages: DataFrame) -> DataFrame:
     """How often each function code occurs per connection, as a map."""
     counts = messages.groupBy("uid", "fc").agg(F.count("*").alias("n"))

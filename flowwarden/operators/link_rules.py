@@ -54,14 +54,14 @@ LINK_RULES = [
         "high",
         0.80,
         lambda: link_rate() > 50.0,
-        lambda: F.format_string("%.1f pps exceeds threshold 50.0", link_rate()),
+        lambda: F.format_string("%.1f pps exceeds threshold 50.0", F.bround(link_rate(), 1)),
     ),
     LinkRule(
         "error_storm",
         "medium",
         0.60,
         lambda: (_packets() > 10) & (F.col("error_count") > 0) & (_error_share() > 0.10),
-        lambda: F.format_string("Error rate %.1f%%", _error_share() * 100),
+        lambda: F.format_string("Error rate %.1f%%", F.bround(_error_share() * 100, 1)),
     ),
     LinkRule(
         "req_resp_imbalance",
@@ -69,7 +69,7 @@ LINK_RULES = [
         0.40,
         lambda: (F.col("response_count") > 0)
         & ((_balance() > 3.0) | (_balance() < 1.0 / 3.0)),
-        lambda: F.format_string("Request/response ratio %.2f", _balance()),
+        lambda: F.format_string("Request/response ratio %.2f", F.bround(_balance(), 2)),
     ),
     LinkRule(
         "burst_traffic",

@@ -21,8 +21,12 @@ def _micros(column: str) -> str:
     )
 
 
+UID = (
+    "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,"
+    " cast(round(l_extendedprice * 100) AS bigint)) AS uid"
+)
 FLOW_COLUMNS = [
-    "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS uid",
+    UID,
     f"{_micros('l_shipdate')} + (l_orderkey*37 + l_linenumber*7) % 86400 * 1000000 AS ts_us",
     "CASE WHEN l_suppkey % 6 = 0 THEN '10.0.0.1' ELSE concat('10.0.', l_suppkey % 4 + 2, '.', l_suppkey % 254 + 1) END AS src_ip",
     "CASE WHEN l_partkey % 11 = 0 THEN '10.0.1.255' ELSE concat('10.0.1.', l_partkey % 8 + 1) END AS dst_ip",
@@ -125,6 +129,6 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def campaign_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").selectExpr(
-        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS uid",
+        UID,
         "cast(l_orderkey % 420 AS int) AS step",
     )

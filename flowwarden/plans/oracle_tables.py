@@ -2,7 +2,7 @@
 
 FLOWS = """
 flows AS (
-SELECT concat(l_orderkey,'-',l_linenumber,'-',l_partkey,'-',l_suppkey) AS uid,
+SELECT concat(l_orderkey,'-',l_linenumber,'-',l_partkey,'-',l_suppkey,'-',round(l_extendedprice * 100)::bigint) AS uid,
   epoch_us(l_shipdate) + (l_orderkey*37 + l_linenumber*7) % 86400 * 1000000 AS ts_us,
   CASE WHEN l_suppkey % 6 = 0 THEN '10.0.0.1' ELSE concat('10.0.', l_suppkey % 4 + 2, '.', l_suppkey % 254 + 1) END AS src_ip,
   CASE WHEN l_partkey % 11 = 0 THEN '10.0.1.255' ELSE concat('10.0.1.', l_partkey % 8 + 1) END AS dst_ip,
