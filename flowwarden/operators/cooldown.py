@@ -5,126 +5,199 @@ earlier. The rule is sequential, but what a stretch of time does to the "earlies
 alert" is a function that can be tabulated without knowing what came before, and such
 functions compose. So each host's time is cut into blocks; every block is tabulated on
 its own, blocks of blocks are composed, the actual start values are handed down again
-and the blocks are replayed. A group holds one block of one host, whatever the host's
+and the blocks are replayed. A row holds one block of one host, whatever the host's
 share of the table.
+
+Everything runs as array expressions; only blocks too crowded for the simple tabulation
+(its cost grows with the square of a block's alerts) go through numpy.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NEVER = np.iinfo(np.int64).min
+NEVER = -(2**63)
 WIDTH = 64  # block length in cooldowns
 FAN = 256  # blocks per block of blocks
+CROWDED = 4096  # entries above which numpy takes over
 
+_TABLE = "array<struct<entry: bigint, leave: bigint>>"
 
-def _last_taken(times: np.ndarray, cooldown: int) -> np.ndarray:
-    """For each instant, the end of the cooldown chain that starts by taking it."""
-    n = len(times)
-    follow = np.searchsorted(times, times + cooldown)
-    hop = np.where(follow < n, follow, np.arange(n))
-    while True:
-        further = hop[hop]
-        if (further == hop).all():
-            return times[hop] + cooldown
-        hop = further
 
+def _part(value: str, size: int) -> Column:
+    """Number of the stretch of `size` that holds a whole number; exact, also below zero."""
+    return ((F.col(value) - F.pmod(value, F.lit(size))) / size).cast("bigint")
 
-def _compact(entry: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keep the last of consecutive entries that share an outcome."""
-    keep = np.append(leave[1:] != leave[:-1], True)
-    return entry[keep], leave[keep]
+
+# ---- array expressions ----
 
 
-def _apply(entry: np.ndarray, leave: np.ndarray, start: np.ndarray) -> np.ndarray:
+def _up_to(values: Column, limit: Column) -> Column:
+    """Sorted values below the limit and the first one beyond: where a block can begin."""
+    below = F.filter(values, lambda t: t < limit)
+    return F.concat(below, F.slice(F.filter(values, lambda t: t >= limit), 1, 1))
+
+
+def _leave(table: Column, value: Column) -> Column:
     """Earliest next alert after a block, from the earliest allowed before it."""
-    at = np.searchsorted(entry, start)
-    return np.where(at < len(entry), leave[np.minimum(at, len(entry) - 1)], start)
+    return F.coalesce(F.get(F.filter(table, lambda x: x["entry"] >= value), F.lit(0))["leave"], value)
+
+
+def _block_table(times: Column, limit: Column, cooldown: int) -> Column:
+    def walk(begin: Column) -> Column:
+        return F.aggregate(
+            times, begin, lambda acc, t: F.when(t >= acc, t + cooldown).otherwise(acc)
+        )
+
+    return F.transform(
+        _up_to(times, limit), lambda e: F.struct(e.alias("entry"), walk(e).alias("leave"))
+    )
+
+
+def _composed_table(kids: Column, limit: Column) -> Column:
+    entries = F.array_sort(
+        F.array_distinct(
+            F.flatten(F.transform(kids, lambda k: F.transform(k["table"], lambda x: x["entry"])))
+        )
+    )
+
+    def walk(begin: Column) -> Column:
+        return F.aggregate(kids, begin, lambda acc, k: _leave(k["table"], acc))
+
+    return F.transform(
+        _up_to(entries, limit), lambda e: F.struct(e.alias("entry"), walk(e).alias("leave"))
+    )
+
+
+def _starts(kids: Column, start: Column) -> Column:
+    """Start value of each child, as array<struct<child, start>>."""
+    nothing = F.array().cast("array<struct<child: bigint, start: bigint>>")
+    return F.aggregate(
+        kids,
+        F.struct(start.alias("value"), nothing.alias("found")),
+        lambda acc, k: F.struct(
+            _leave(k["table"], acc["value"]).alias("value"),
+            F.concat(
+                acc["found"],
+                F.array(F.struct(k["child"].alias("child"), acc["value"].alias("start"))),
+            ).alias("found"),
+        ),
+        lambda acc: acc["found"],
+    )
+
+
+def _taken(times: Column, start: Column, cooldown: int) -> Column:
+    """Instants taken in a block: at most one per cooldown."""
+    nothing = F.array().cast("array<bigint>")
+    return F.aggregate(
+        times,
+        F.struct(start.alias("open"), nothing.alias("taken")),
+        lambda acc, t: F.when(
+            t >= acc["open"],
+            F.struct(
+                (t + cooldown).alias("open"), F.concat(acc["taken"], F.array(t)).alias("taken")
+            ),
+        ).otherwise(acc),
+        lambda acc: acc["taken"],
+    )
+
 
+# ---- crowded blocks ----
 
-def _children(pdf: pd.DataFrame, column: str):
-    for child, rows in pdf.sort_values([column, "entry"]).groupby(column, sort=True):
-        yield child, rows["entry"].to_numpy(), rows["leave"].to_numpy()
 
+def _compact(entry: np.ndarray, leave: np.ndarray) -> tuple[list, list]:
+    """Keep the last of consecutive entries that share an outcome."""
+    keep = np.append(leave[1:] != leave[:-1], True)
+    return entry[keep].tolist(), leave[keep].tolist()
+
+
+def _crowded_block(cooldown: int, span: int):
+    """Chains of all instants at once, by following each other's next link."""
 
-def _tabulate(cooldown: int, width: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        block = pdf["block"].iloc[0]
-        times = np.sort(pdf.loc[pdf["first_uid"].notna(), "t"].to_numpy())
-        if not len(times):  # nothing to take: the block changes nothing
-            return pd.DataFrame(
-                {"host": pdf["host"].iloc[0], "block": block, "entry": [NEVER], "leave": [NEVER]}
-            )
-        reach = np.searchsorted(times, block * width + cooldown) + 1
-        entry, leave = _compact(times[:reach], _last_taken(times, cooldown)[:reach])
+        block = int(pdf["block"].iloc[0])
+        times = np.sort(pdf["t"].to_numpy())
+        follow = np.searchsorted(times, times + cooldown)
+        hop = np.where(follow < len(times), follow, np.arange(len(times)))
+        while not (hop[hop] == hop).all():
+            hop = hop[hop]
+        reach = np.searchsorted(times, block * span + cooldown) + 1
+        entry, leave = _compact(times[:reach], times[hop][:reach] + cooldown)
         return pd.DataFrame(
-            {"host": pdf["host"].iloc[0], "block": block, "entry": entry, "leave": leave}
+            {"host": [pdf["host"].iloc[0]], "block": [block], "entry": [entry], "leave": [leave]}
         )
 
     return run
 
 
-def _compose(cooldown: int, width: int, fan: int):
+def _crowded_group(cooldown: int, span: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        group = pdf["parent"].iloc[0]
-        limit = group * width * fan + cooldown
+        group = int(pdf["parent"].iloc[0])
         entry = np.unique(pdf["entry"].to_numpy())
-        entry = entry[: np.searchsorted(entry, limit) + 1]
+        entry = entry[: np.searchsorted(entry, group * span + cooldown) + 1]
         leave = entry
-        for _, e, v in _children(pdf, "block"):
-            leave = _apply(e, v, leave)
+        for _, kid in pdf.sort_values(["child", "entry"]).groupby("child", sort=True):
+            e, v = kid["entry"].to_numpy(), kid["leave"].to_numpy()
+            at = np.searchsorted(e, leave)
+            leave = np.where(at < len(e), v[np.minimum(at, len(e) - 1)], leave)
         entry, leave = _compact(entry, leave)
         return pd.DataFrame(
-            {"host": pdf["host"].iloc[0], "parent": group, "entry": entry, "leave": leave}
+            {"host": [pdf["host"].iloc[0]], "parent": [group], "entry": [entry], "leave": [leave]}
         )
 
     return run
 
 
-def _hand_down(column: str):
-    """Start value of each child, given the start value of the group (if any)."""
+def _zipped(df: DataFrame, key: str) -> DataFrame:
+    pairs = F.transform(
+        F.arrays_zip("entry", "leave"),
+        lambda x: F.struct(x["entry"].alias("entry"), x["leave"].alias("leave")),
+    )
+    return df.select("host", key, pairs.cast(_TABLE).alias("table"))
 
-    def run(pdf: pd.DataFrame, start: int) -> pd.DataFrame:
-        value = np.array([start])
-        found = []
-        for child, e, v in _children(pdf, column):
-            found.append((child, value[0]))
-            value = _apply(e, v, value)
-        return pd.DataFrame(
-            {
-                "host": pdf["host"].iloc[0],
-                column: [c for c, _ in found],
-                "start": np.array([s for _, s in found], dtype=np.int64),
-            }
-        )
 
-    return run
+# ---- the levels ----
 
 
-def _replay(cooldown: int):
-    """opens_at of every instant: before it, the host accepts nothing."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = left.sort_values("t")
-        times = rows["t"].to_numpy()
-        usable = rows["first_uid"].notna().to_numpy()
-        start = right["start"].iloc[0] if len(right) else NEVER
-        candidates = times[usable]
-        taken = []
-        at = np.searchsorted(candidates, start)
-        while at < len(candidates):
-            taken.append(candidates[at])
-            at = np.searchsorted(candidates, candidates[at] + cooldown)
-        ends = np.concatenate([[start], np.array(taken, dtype=np.int64) + cooldown])
-        opens = ends[np.searchsorted(np.array(taken, dtype=np.int64), times)]
-        return pd.DataFrame(
-            {"host": rows["host"], "t": times, "opens_at": opens, "first_uid": rows["first_uid"]}
+def _tabulate(blocks: DataFrame, cooldown: int, span: int, crowded: int) -> DataFrame:
+    simple = blocks.where(F.size("times") <= crowded).select(
+        "host",
+        "block",
+        _block_table(F.col("times"), F.col("block") * span + cooldown, cooldown).alias("table"),
+    )
+    dense = (
+        blocks.where(F.size("times") > crowded)
+        .select("host", "block", F.explode("times").alias("t"))
+        .groupBy("host", "block")
+        .applyInPandas(
+            _crowded_block(cooldown, span),
+            "host string, block bigint, entry array<bigint>, leave array<bigint>",
         )
+    )
+    return simple.unionByName(_zipped(dense, "block"))
 
-    return run
+
+def _compose(groups: DataFrame, cooldown: int, span: int, crowded: int) -> DataFrame:
+    load = F.aggregate("kids", F.lit(0), lambda acc, k: acc + F.size(k["table"]))
+    simple = groups.where(load <= crowded).select(
+        "host",
+        "parent",
+        _composed_table(F.col("kids"), F.col("parent") * span + cooldown).alias("table"),
+    )
+    dense = (
+        groups.where(load > crowded)
+        .select("host", "parent", F.inline("kids"))
+        .select("host", "parent", "child", F.inline("table"))
+        .groupBy("host", "parent")
+        .applyInPandas(
+            _crowded_group(cooldown, span),
+            "host string, parent bigint, entry array<bigint>, leave array<bigint>",
+        )
+    )
+    return simple.unionByName(_zipped(dense, "parent"))
 
 
 def cooldown_status(
@@ -133,6 +206,7 @@ def cooldown_status(
     start: DataFrame | None = None,
     width: int = WIDTH,
     fan: int = FAN,
+    crowded: int = CROWDED,
 ) -> DataFrame:
     """Add `status`: taken, cooldown, or unsafe.
 
@@ -141,53 +215,63 @@ def cooldown_status(
     (ts_us, uid) per host. `start` (host, start) carries on from an earlier run.
     """
     span = width * cooldown_us
-    instants = (
-        alerts.groupBy(F.col("src_ip").alias("host"), F.col("ts_us").alias("t"))
-        .agg(F.min(F.when(F.col("safe"), F.col("uid"))).alias("first_uid"))
-        .withColumn("block", F.floor(F.col("t") / span))
-    )
-    tables = instants.groupBy("host", "block").applyInPandas(
-        _tabulate(cooldown_us, span), "host string, block bigint, entry bigint, leave bigint"
-    ).withColumn("parent", F.floor(F.col("block") / fan))
-    upper = tables.groupBy("host", "parent").applyInPandas(
-        _compose(cooldown_us, span, fan), "host string, parent bigint, entry bigint, leave bigint"
-    )
-    start_schema = "host string, {} bigint, start bigint"
-    down = _hand_down("parent")
-    if start is None:
-        tops = upper.groupBy("host").applyInPandas(
-            lambda pdf: down(pdf, NEVER), start_schema.format("parent")
-        )
-    else:
-        tops = upper.groupBy("host").cogroup(start.groupBy("host")).applyInPandas(
-            lambda pdf, s: down(pdf, s["start"].iloc[0] if len(s) else NEVER)
-            if len(pdf)
-            else pd.DataFrame({"host": [], "parent": [], "start": []}),
-            start_schema.format("parent"),
+    instants = alerts.groupBy(F.col("src_ip").alias("host"), F.col("ts_us").alias("t")).agg(
+        F.min(F.when(F.col("safe"), F.col("uid"))).alias("first_uid")
+    )
+    blocks = (
+        instants.groupBy("host", _part("t", span).alias("block"))
+        .agg(F.array_sort(F.collect_list(F.struct("t", "first_uid"))).alias("rows"))
+        .withColumn(
+            "times",
+            F.transform(
+                F.filter("rows", lambda r: r["first_uid"].isNotNull()), lambda r: r["t"]
+            ),
         )
-    lower = _hand_down("block")
+    )
+    kid = F.struct(F.col("block").alias("child"), "table")
+    groups = (
+        _tabulate(blocks, cooldown_us, span, crowded)
+        .groupBy("host", _part("block", fan).alias("parent"))
+        .agg(F.array_sort(F.collect_list(kid)).alias("kids"))
+    )
+    top_kid = F.struct(F.col("parent").alias("child"), "table")
+    hosts = (
+        _compose(groups, cooldown_us, span * fan, crowded)
+        .groupBy("host")
+        .agg(F.array_sort(F.collect_list(top_kid)).alias("kids"))
+    )
+    first = F.lit(NEVER)
+    if start is not None:
+        hosts = hosts.join(start, "host", "left")
+        first = F.coalesce("start", first)
+    tops = hosts.select("host", F.inline(_starts(F.col("kids"), first))).withColumnRenamed(
+        "child", "parent"
+    )
     begins = (
-        tables.groupBy("host", "parent")
-        .cogroup(tops.groupBy("host", "parent"))
-        .applyInPandas(lambda pdf, s: lower(pdf, s["start"].iloc[0]), start_schema.format("block"))
+        groups.join(tops, ["host", "parent"])
+        .select("host", F.inline(_starts(F.col("kids"), F.col("start"))))
+        .withColumnRenamed("child", "block")
     )
+    earlier = F.array_max(F.filter("taken", lambda x: x < F.col("t")))
     replayed = (
-        instants.groupBy("host", "block")
-        .cogroup(begins.groupBy("host", "block"))
-        .applyInPandas(_replay(cooldown_us), "host string, t bigint, opens_at bigint, first_uid string")
+        blocks.join(begins, ["host", "block"])
+        .withColumn("taken", _taken(F.col("times"), F.col("start"), cooldown_us))
+        .select("host", "start", "taken", F.inline("rows"))
+        .select(
+            F.col("host").alias("src_ip"),
+            F.col("t").alias("ts_us"),
+            F.coalesce(earlier + cooldown_us, "start").alias("opens_at"),
+            "first_uid",
+        )
     )
     closed = F.col("ts_us") < F.col("opens_at")
-    first = F.col("uid") == F.col("first_uid")
-    after_first = F.col("uid") > F.col("first_uid")
     return (
-        alerts.join(
-            replayed.withColumnsRenamed({"host": "src_ip", "t": "ts_us"}), ["src_ip", "ts_us"]
-        )
+        alerts.join(replayed, ["src_ip", "ts_us"])
         .withColumn(
             "status",
             F.when(closed, "cooldown")
-            .when(first, "taken")
-            .when(after_first, "cooldown")
+            .when(F.col("uid") == F.col("first_uid"), "taken")
+            .when(F.col("uid") > F.col("first_uid"), "cooldown")
             .when(~F.col("safe"), "unsafe")
             .otherwise("cooldown"),
         )

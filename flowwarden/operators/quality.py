@@ -94,7 +94,7 @@ def per_tick(outcomes: DataFrame, seconds: int = 1) -> DataFrame:
     width = seconds * 1_000_000
     truth, fired = attack_truth(), F.col("fired")
     return outcomes.groupBy(
-        (F.floor(F.col("ts_us") / width) * width).cast("bigint").alias("tick_us")
+        (F.col("ts_us") - F.pmod("ts_us", F.lit(width))).alias("tick_us")
     ).agg(
         F.count("*").alias("total"),
         F.count_if(fired).alias("alerts"),

@@ -841,7 +841,7 @@ def ga1_gaussian(spark, sf):
 
 @query
 def ga2_mixup(spark, sf):
-    return G.mixup(training(spark, sf), 2)
+    return rounded(G.mixup(training(spark, sf), 2), 5, *S.FEATURES)
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from flowwarden.operators.augment import beta_quantiles
 from flowwarden.plans.oracle_tables import (
     BUSY_FLOWS,
     BUSY_MATCHES,
@@ -767,6 +768,20 @@ SQL["ga1_gaussian"] = over(
     )
     + " FROM flows, whole, (SELECT unnest([1, 2, 3]) AS copy)",
 )
+_MIX = f"""
+, ranked AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(uid), uid) AS rank, count(*) OVER (PARTITION BY label) AS size FROM flows)
+, drawn AS (SELECT r.*, copy, floor({_unit('uid', 'copy', "'partner'")} * size)::bigint + 1 AS partner,
+  list_extract({beta_quantiles(0.4)}::double[], floor({_unit('uid', 'copy', "'mix'")} * 1024)::bigint + 1) AS share
+  FROM ranked r, (SELECT unnest([1, 2]) AS copy))
+"""
+SQL["ga2_mixup"] = over(
+    FLOWS + _MIX,
+    "SELECT d.uid || '#m' || copy AS id, d.label, "
+    + ", ".join(
+        rnd(_constrained(i, f"(share * d.{f} + (1 - share) * o.{f})"), 5, f) for i, f in enumerate(FEATURES)
+    )
+    + " FROM drawn d JOIN ranked o ON o.label = d.label AND o.rank = d.partner",
+)
 _PROBES = """
 probes AS (SELECT p_partkey AS id, p_size * p_size / 200.0::double AS flow_duration, p_size::double AS pkt_count,
   round(p_retailprice * 30) AS byte_count, round(p_retailprice * 30) / p_size AS bytes_per_pkt,
