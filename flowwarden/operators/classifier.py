@@ -6,6 +6,8 @@ import json
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     RandomForestClassificationModel,
@@ -191,28 +193,42 @@ def _calibrate(
     return {c: curve.fit(grouped.where(F.col("class") == c)) for c in classes}
 
 
+def _calibrated(model: Classifier, raw: list[Column]) -> Column:
+    """Class probabilities from the folds' raw ones: curve, normalise, average."""
+    curves = [
+        {c: (m.boundaries.toArray(), m.predictions.toArray()) for c, m in fold.items()}
+        for fold in model.curves
+    ]
+    classes = model.classes
+
+    @F.pandas_udf("array<double>")
+    def run(*folds: pd.Series) -> pd.Series:
+        total = np.zeros((len(folds[0]), len(classes)))
+        for i, fold in enumerate(folds):
+            if not len(fold):
+                continue
+            given = np.stack(fold.to_numpy())[:, classes]
+            if curves:
+                fitted = [np.interp(given[:, j], *curves[i][c]) for j, c in enumerate(classes)]
+                given = np.clip(np.column_stack(fitted), 0.0, 1.0)
+                sums = given.sum(axis=1, keepdims=True)
+                even = np.full_like(given, 1.0 / len(classes))
+                given = np.divide(given, sums, out=even, where=sums > 0)
+            total += given
+        return pd.Series(list(total / len(folds)))
+
+    return run(*raw)
+
+
 def _class_probabilities(model: Classifier, features: DataFrame) -> DataFrame:
     """Add `probabilities`: per class in list order, calibrated, averaged over the folds."""
-    df, per_fold = features, []
+    df, raw = features, []
     for i, forest in enumerate(model.forests):
-        raw, prob, guess = f"_raw{i}", f"_prob{i}", f"_guess{i}"
-        forest.setRawPredictionCol(raw).setProbabilityCol(prob).setPredictionCol(guess)
-        df = forest.transform(df).withColumn(f"_p{i}", vector_to_array(prob)).drop(raw, prob, guess)
-        if not model.curves:
-            per_fold.append([F.col(f"_p{i}")[c] for c in model.classes])
-            continue
-        fitted = []
-        for c in model.classes:
-            source, target = f"_x{i}_{c}", f"_c{i}_{c}"
-            curve = model.curves[i][c].setFeaturesCol(source).setPredictionCol(target)
-            df = curve.transform(df.withColumn(source, F.col(f"_p{i}")[c])).drop(source)
-            fitted.append(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(target))))
-        total = sum(fitted[1:], fitted[0])
-        even = 1.0 / len(model.classes)
-        per_fold.append([F.when(total > 0, f / total).otherwise(even) for f in fitted])
-    means = [sum(p[1:], p[0]) / len(per_fold) for p in map(list, zip(*per_fold))]
-    kept = features.columns
-    return df.select(*kept, F.array(*means).alias("probabilities"))
+        # only the probability is asked for, so each forest is walked once per row
+        forest.setRawPredictionCol("").setPredictionCol("").setProbabilityCol(f"_prob{i}")
+        df = forest.transform(df)
+        raw.append(vector_to_array(f"_prob{i}"))
+    return df.select(*features.columns, _calibrated(model, raw).alias("probabilities"))
 
 
 def predict(model: Classifier, flows: DataFrame) -> DataFrame:
@@ -220,7 +236,10 @@ def predict(model: Classifier, flows: DataFrame) -> DataFrame:
 
     ml_attack and ml_severity are null for normal or unsure predictions.
     """
-    raw = flows.select("*", F.struct(*S.FEATURES).alias("_keep"))
+    # walking hundreds of trees costs about a millisecond a row, far more than moving it:
+    # spread the rows over all cores first
+    spread = flows.repartition("uid")
+    raw = spread.select("*", F.struct(*S.FEATURES).alias("_keep"))
     scored = _class_probabilities(model, assembled(raw, model.scaler)).drop("features")
     ids = F.array(*[F.lit(c) for c in model.classes])
     best = F.array_max("probabilities")

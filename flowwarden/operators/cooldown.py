@@ -218,13 +218,20 @@ def cooldown_status(
     instants = alerts.groupBy(F.col("src_ip").alias("host"), F.col("ts_us").alias("t")).agg(
         F.min(F.when(F.col("safe"), F.col("uid"))).alias("first_uid")
     )
+    if start is None:
+        held = F.lit(False)
+    else:  # still closed from the earlier run: cannot be taken
+        instants = instants.join(start, "host", "left")
+        held = F.col("t") < F.coalesce("start", F.lit(NEVER))
+    instants = instants.select("host", "t", "first_uid", held.alias("held"))
     blocks = (
         instants.groupBy("host", _part("t", span).alias("block"))
-        .agg(F.array_sort(F.collect_list(F.struct("t", "first_uid"))).alias("rows"))
+        .agg(F.array_sort(F.collect_list(F.struct("t", "first_uid", "held"))).alias("rows"))
         .withColumn(
             "times",
             F.transform(
-                F.filter("rows", lambda r: r["first_uid"].isNotNull()), lambda r: r["t"]
+                F.filter("rows", lambda r: r["first_uid"].isNotNull() & ~r["held"]),
+                lambda r: r["t"],
             ),
         )
     )
@@ -240,11 +247,7 @@ def cooldown_status(
         .groupBy("host")
         .agg(F.array_sort(F.collect_list(top_kid)).alias("kids"))
     )
-    first = F.lit(NEVER)
-    if start is not None:
-        hosts = hosts.join(start, "host", "left")
-        first = F.coalesce("start", first)
-    tops = hosts.select("host", F.inline(_starts(F.col("kids"), first))).withColumnRenamed(
+    tops = hosts.select("host", F.inline(_starts(F.col("kids"), F.lit(NEVER)))).withColumnRenamed(
         "child", "parent"
     )
     begins = (
@@ -262,9 +265,10 @@ def cooldown_status(
             F.col("t").alias("ts_us"),
             F.coalesce(earlier + cooldown_us, "start").alias("opens_at"),
             "first_uid",
+            "held",
         )
     )
-    closed = F.col("ts_us") < F.col("opens_at")
+    closed = F.col("held") | (F.col("ts_us") < F.col("opens_at"))
     return (
         alerts.join(replayed, ["src_ip", "ts_us"])
         .withColumn(
@@ -275,5 +279,5 @@ def cooldown_status(
             .when(~F.col("safe"), "unsafe")
             .otherwise("cooldown"),
         )
-        .drop("opens_at", "first_uid")
+        .drop("opens_at", "first_uid", "held")
     )

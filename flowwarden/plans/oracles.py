@@ -929,7 +929,7 @@ SQL["str4_expiry"] = over(
     _LEDGER,
     """
 SELECT rule_id, match_src AS host, expires_us FROM expiring
-WHERE rule = 'drop' AND expires_us // 1000 <= (SELECT max(installed_us) FROM ledger) // 1000 - 60000
+WHERE rule = 'drop' AND expires_us // 1000 <= (SELECT max(installed_us) FROM ledger WHERE rule = 'drop') // 1000 - 60000
 """,
     recursive=True,
 )

@@ -174,8 +174,8 @@ def expired_rules(
 
     Needs the RocksDB state store: see `timer_state_store`.
     """
-    # rules of every kind move the watermark; only drops are kept
-    timed = with_event_time(rules, "installed_us", delay).where("rule = 'drop'")
+    # the clock follows the drop rules: the filter runs before the watermark is taken
+    timed = with_event_time(rules.where("rule = 'drop'"), "installed_us", delay)
     return timed.groupBy("rule_id").transformWithStateInPandas(
         RuleExpiry(seconds),
         "rule_id string, host string, expires_us bigint",
