@@ -744,12 +744,16 @@ def _unit(*cells: str) -> str:
     return f"(('0x' || substr(md5(concat_ws('|', {', '.join(cells)})), 1, 8))::bigint / 4294967296.0::double)"
 
 
-def _normal(*cells: str) -> str:
-    spread = "'r'"
-    angle = "'a'"
+def _normal(i: int) -> str:
+    """Normal number i of a row copy: pairs from the halves of one digest per four."""
+    text = f"md5(concat_ws('|', uid, copy, '{i - i % 4}'))"
+    at = 1 if i % 4 < 2 else 17
+    first, second = (
+        f"(('0x' || substr({text}, {k}, 8))::bigint / 4294967296.0::double)" for k in (at, at + 8)
+    )
     return (
-        f"(sqrt(-2.0::double * ln({_unit(*cells, spread)} + {2.0**-33!r}::double))"
-        f" * cos(6.283185307179586::double * {_unit(*cells, angle)}))"
+        f"(sqrt(-2.0::double * ln({first} + {2.0**-33!r}::double))"
+        f" * {'sin' if i % 2 else 'cos'}(6.283185307179586::double * {second}))"
     )
 
 
@@ -759,7 +763,7 @@ SQL["ga1_gaussian"] = over(
     + ", ".join(
         rnd(
             _constrained(
-                i, f"({f} + (0.08::double * (s_{f} + 1e-6::double)) * " + _normal("uid", "copy", f"'{f}'") + ")"
+                i, f"({f} + (0.08::double * (s_{f} + 1e-6::double)) * " + _normal(i) + ")"
             ),
             4,
             f,
