@@ -31,7 +31,9 @@ def read_dataset(spark: SparkSession, path: str, form: str = "parquet") -> DataF
 
 def write_alert_log(alerts: DataFrame, path: str, mode: str = "append") -> None:
     """JSON lines partitioned by the day of the alert."""
-    day = F.to_date(F.timestamp_micros("ts_us"))
+    length = 86_400_000_000  # days of UTC, whatever the session time zone
+    since_epoch = (F.col("ts_us") - F.pmod("ts_us", F.lit(length))) / length
+    day = F.date_from_unix_date(since_epoch.cast("int"))
     alerts.withColumn("day", day).write.mode(mode).partitionBy("day").json(path)
 
 
