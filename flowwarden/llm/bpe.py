@@ -119,7 +119,7 @@ class Transducer:
     """Encodes pieces byte by byte. At most ``max_states`` states are kept; beyond that
     all are forgotten and made again when met, which changes no result."""
 
-    def __init__(self, vocabulary: Vocabulary, max_states: int = 250_000):
+    def __init__(self, vocabulary: Vocabulary, max_states: int = 150_000):
         self.vocabulary = vocabulary
         self.max_states = max_states
         self._apart: dict[int, bool] = {}
@@ -144,7 +144,7 @@ class Transducer:
         key = before << 32 | token
         found = self._apart.get(key)
         if found is None:
-            if len(self._apart) > 500_000:
+            if len(self._apart) > 250_000:
                 self._apart.clear()
             found = self._apart[key] = known.apart(before, token)
         return found
@@ -157,7 +157,7 @@ class Transducer:
         key = before << 32 | node
         found = self._continues.get(key)
         if found is None:
-            if len(self._continues) > 500_000:
+            if len(self._continues) > 250_000:
                 self._continues.clear()
             apart = self.vocabulary.apart
             found = self._continues[key] = any(apart(before, token) for token in below)
@@ -249,7 +249,7 @@ class TextEncoder:
     """Encodes whole texts: cuts them by the pattern and sends pieces through the
     transducer. Words met before are kept, at most ``max_words``, then forgotten."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str, max_words: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, pattern: str, max_words: int = 200_000):
         self.transducer = Transducer(vocabulary)
         self.pattern = regex.compile(pattern)
         self.max_words = max_words

@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from flowwarden.llm.common import stored
 
 
+def _stars(links: DataFrame) -> bool:
+    """Does every node hang below one parent, which hangs below none?"""
+    ends = links.groupBy("node").agg(F.count("*").alias("n")).select("node", "n", F.lit(False).alias("above"))
+    tops = links.select(F.col("parent").alias("node")).distinct().select("node", F.lit(0).alias("n"), F.lit(True))
+    seen = ends.union(tops).groupBy("node").agg(F.sum("n").alias("n"), F.max("above").alias("above"))
+    return seen.where("n > 1 OR (n = 1 AND above)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``edges``: columns a, b. Returns node, component: the smallest node reachable, for
     every node that has a link to another. Null ends and loops are ignored; no edges give
@@ -20,12 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     links = edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("parent"))
     links = stored(links.where("node > parent").distinct(), "links")
-    state = None
-    while True:
-        seen = links.agg(F.count("*"), F.sum(F.xxhash64("node", "parent") % 1_000_003)).first()
-        if seen == state or seen[0] == 0:
-            break
-        state = seen
+    while not _stars(links):
         lowest = (
             links.select("node", "parent")
             .union(links.select(F.col("parent"), F.col("node")))

@@ -177,6 +177,21 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def _among(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose doc is wanted. A bitmap of fixed size, at most 2^18 words of 64 bits,
+    keeps most others out of the shuffle."""
+    place = F.xxhash64("doc").bitwiseAND(F.lit((1 << 24) - 1))
+    bit = F.expr("shiftleft(1L, cast(place & 63 as int))")
+    bits = (
+        wanted.select(place.alias("place"))
+        .groupBy(F.shiftright("place", 6).alias("word"))
+        .agg(F.bit_or(bit).alias("bits"))
+    )
+    marked = texts.withColumn("place", place).withColumn("word", F.shiftright("place", 6))
+    near = marked.join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(bit) != 0)
+    return near.select("doc", "text").join(wanted, "doc", "left_semi")
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns id_col, n_shingles, component_id, kept for every row, repeated rows included.
 
@@ -184,8 +199,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct shingles of five words, the whole sequence where there are fewer words, and is
     empty without words or text: such rows link with nothing and keep their own id. Two rows
     link where shared shingles are at least 75 % of all; component_id is the smallest id
-    reachable. Rows that share an id count as one document; rows without an id are compared
-    with none. A pair at exactly 75 % shares no bucket with probability 5e-6.
+    reachable. Rows that share an id count as one document, compared by its smallest text; rows
+    without an id are compared with none. A pair at exactly 75 % shares no bucket with probability 5e-6.
     """
     texts = df.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["doc"].dataType.simpleString()
@@ -193,18 +208,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         texts.mapInArrow(_describe, f"doc {kind}, n long, digest binary, keys array<long>"), "minhash"
     )
     usable = described.where("doc IS NOT NULL AND digest IS NOT NULL")
-    classes = stored(usable.groupBy("digest").agg(F.min("doc").alias("doc")), "classes")
-    bands = usable.join(classes, ["digest", "doc"]).select("doc", "n", F.explode("keys").alias("key"))
+    first = F.min_by(F.struct("n", "keys"), "doc")
+    classes = stored(
+        usable.groupBy("digest").agg(F.min("doc").alias("doc"), first.alias("x")).select("digest", "doc", "x.*"),
+        "classes",
+    )
+    bands = classes.select("doc", "n", F.explode("keys").alias("key"))
     buckets = bands.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("other"))
     members = stored(
-        bands.join(buckets.where("hub < other").drop("other"), "key").select("key", "doc", "n").distinct(),
-        "members",
+        bands.join(buckets.where("hub < other").select("key"), "key").select("key", "doc", "n"), "members"
     )
     wanted = members.select("doc").distinct()
-    sets = stored(
-        texts.join(wanted, "doc", "left_semi").mapInArrow(_sets, f"doc {kind}, shingles binary").distinct(),
-        "sets",
-    )
+    compared = _among(texts, wanted).groupBy("doc").agg(F.min("text").alias("text"))
+    sets = stored(compared.mapInArrow(_sets, f"doc {kind}, shingles binary"), "sets")
     links = None
     while True:
         hubs = members.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("hub"))
@@ -224,6 +240,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             break
         links = found if links is None else links.union(found)
         groups = stored(components(links), "groups")
+        links = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
         of_member = groups.select(F.col("node").alias("doc"), F.col("component").alias("group"))
         placed = members.join(of_member, "doc", "left").withColumn("group", F.coalesce("group", "doc"))
         hub_doc = hubs.select("key", F.col("hub.doc").alias("hub")).join(
