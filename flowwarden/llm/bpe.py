@@ -22,8 +22,15 @@ FEW = 32
 _NEVER = 1 << 62
 
 
+def ranks_of(path: str) -> dict[bytes, int]:
+    """The ranks of a tiktoken file."""
+    with open(path, "rb") as lines:
+        pairs = (line.split() for line in lines if line.strip())
+        return {base64.b64decode(token): int(rank) for token, rank in pairs}
+
+
 class Vocabulary:
-    """Ranks of a tiktoken file, as a byte trie. ``load`` takes the file's lines."""
+    """Ranks as a byte trie."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -52,12 +59,6 @@ class Vocabulary:
         self.below = below
         self._edges: dict[int, tuple] = {}
 
-    @classmethod
-    def load(cls, path: str) -> Vocabulary:
-        with open(path, "rb") as lines:
-            pairs = (line.split() for line in lines if line.strip())
-            return cls({base64.b64decode(token): int(rank) for token, rank in pairs})
-
     def merges(self, piece: bytes) -> list[list[bytes]]:
         """The parts before each merge and at the end: lowest rank first, leftmost of equals."""
         parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -119,7 +120,7 @@ class Transducer:
     """Encodes pieces byte by byte. At most ``max_states`` states are kept; beyond that
     all are forgotten and made again when met, which changes no result."""
 
-    def __init__(self, vocabulary: Vocabulary, max_states: int = 150_000):
+    def __init__(self, vocabulary: Vocabulary, max_states: int = 200_000):
         self.vocabulary = vocabulary
         self.max_states = max_states
         self._apart: dict[int, bool] = {}
@@ -131,7 +132,9 @@ class Transducer:
         start = ((0, FREE, FREE),)
         self._number = {start: 0}
         self._states = [start]
-        self._arcs: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        #: By state and byte the next state; below 0, the place of next state and tokens.
+        self._arcs: dict[int, int] = {}
+        self._emitting: list[tuple[int, tuple[int, ...]]] = []
         self._ends: list[tuple[int, ...] | None] = [None]
 
     def _stays(self, before: int, token: int) -> bool:
@@ -163,7 +166,7 @@ class Transducer:
             found = self._continues[key] = any(apart(before, token) for token in below)
         return found
 
-    def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _arc(self, state: int, byte: int) -> int:
         """A state lists (trie node or FREE, index of the start before, token from there).
         A byte moves every live start down the trie; the first start whose bytes are now a
         token that may stand there gives the way to the new end. What no live start
@@ -204,9 +207,11 @@ class Transducer:
         if number is None:
             number = self._number[key] = len(self._states)
             self._states.append(key)
-            self._arcs.append({})
             self._ends.append(None)
-        return number, emitted
+        if not emitted:
+            return number
+        self._emitting.append((number, emitted))
+        return -len(self._emitting)
 
     @staticmethod
     def _only_branch(starts, nodes, branches, root: int) -> int:
@@ -232,11 +237,13 @@ class Transducer:
             self._forget()
         arcs, state, ids = self._arcs, 0, []
         for byte in piece:
-            step = arcs[state].get(byte)
+            step = arcs.get(state << 8 | byte)
             if step is None:
-                step = arcs[state][byte] = self._arc(state, byte)
-            state, emitted = step
-            if emitted:
+                step = arcs[state << 8 | byte] = self._arc(state, byte)
+            if step >= 0:
+                state = step
+            else:
+                state, emitted = self._emitting[-step - 1]
                 ids += emitted
         end = self._ends[state]
         if end is None:
@@ -249,8 +256,9 @@ class TextEncoder:
     """Encodes whole texts: cuts them by the pattern and sends pieces through the
     transducer. Words met before are kept, at most ``max_words``, then forgotten."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str, max_words: int = 200_000):
+    def __init__(self, vocabulary: Vocabulary, pattern: str, max_words: int = 400_000):
         self.transducer = Transducer(vocabulary)
+        self.tokens = vocabulary.tokens
         self.pattern = regex.compile(pattern)
         self.max_words = max_words
         self._words: dict[str, bytes | None] = {}
@@ -309,8 +317,8 @@ _UTF8 = {
 class StreamingDecoder:
     """Turns ids into text piece by piece; a character cut by the end of a piece waits."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self._token = vocabulary.tokens
+    def __init__(self, tokens: dict[int, bytes]):
+        self._token = tokens
         self._waiting = b""
 
     @staticmethod
@@ -333,6 +341,7 @@ class StreamingDecoder:
         if self._state(data[cut:]) == 0:
             cut = len(data)
         self._waiting = data[cut:]
+        data[:cut].decode()  # raises where the ids before are no text
         return data[:cut]
 
     def finish(self) -> None:

@@ -11,41 +11,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowwarden.llm.bpe import StreamingDecoder, TextEncoder, Vocabulary
+from flowwarden.llm.bpe import StreamingDecoder, TextEncoder, Vocabulary, ranks_of
 
 _SLICE = 512
+#: Ids that the streaming decoder takes at a time.
+STEP = 65_536
 #: One encoder per Python worker: its states and words serve all tasks of the worker.
 _ENCODERS: dict[tuple[str, str], TextEncoder] = {}
-_VOCABULARIES: dict[str, Vocabulary] = {}
+_TOKENS: dict[str, dict[int, bytes]] = {}
 
 
 def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def _vocabulary(path: str) -> Vocabulary:
-    if path not in _VOCABULARIES:
-        _VOCABULARIES[path] = Vocabulary.load(path)
-    return _VOCABULARIES[path]
+def _tokens(path: str) -> dict[int, bytes]:
+    if path not in _TOKENS:
+        _TOKENS[path] = {rank: token for token, rank in ranks_of(path).items()}
+    return _TOKENS[path]
 
 
 def _encoder(path: str, pattern: str) -> TextEncoder:
     key = (path, pattern)
     if key not in _ENCODERS:
-        _ENCODERS[key] = TextEncoder(_vocabulary(path), pattern)
+        _ENCODERS[key] = TextEncoder(Vocabulary(ranks_of(path)), pattern)
         gc.freeze()
     return _ENCODERS[key]
 
 
+def _lists(found: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+
+def _text(ids: np.ndarray, tokens: dict[int, bytes], step: int) -> bytes:
+    stream = StreamingDecoder(tokens)
+    parts = [stream.feed(ids[at : at + step].tolist()) for at in range(0, len(ids), step)]
+    stream.finish()
+    return b"".join(parts)
+
+
 def encode(
     df: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     vocabulary: str | None = None,
     pattern: str = public_tokenizers.PATTERN,
+    decoded: bool = False,
 ) -> DataFrame:
     """Returns id_col and ids (array<int>) for every row, repeated rows included; a null or
-    empty text has no ids. Other columns don't matter, whatever their names. A row's ids
+    empty text has no ids. With ``decoded`` the ids are decoded again in the same pass, into
+    a column of that name. Other columns don't matter, whatever their names. A row's ids
     depend on its text alone. The vocabulary file must exist on every machine."""
     path = vocabulary or vocabulary_path()
 
@@ -57,16 +73,20 @@ def encode(
                 for at in range(0, batch.num_rows, _SLICE):
                     part = batch.slice(at, _SLICE)
                     found = [coder.encode(text or "") for text in part.column(1).to_pylist()]
-                    ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype(np.int32)
-                    ids = pa.array(np.frombuffer(b"".join(found), np.int32))
-                    lists = pa.ListArray.from_arrays(pa.array(ends), ids)
-                    yield pa.RecordBatch.from_arrays([part.column(0), lists], ["id", "ids"])
+                    columns, names = [part.column(0), _lists(found)], ["id", "ids"]
+                    if decoded:
+                        ids = (np.frombuffer(x, np.int32) for x in found)
+                        texts = [_text(x, coder.tokens, STEP) for x in ids]
+                        columns.append(pa.array(texts, pa.binary()).cast(pa.string()))
+                        names.append("decoded")
+                    yield pa.RecordBatch.from_arrays(columns, names)
         finally:
             gc.enable()
 
     chosen = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
-    return chosen.mapInArrow(work, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    schema = f"id {kind}, ids array<int>" + ", decoded string" * decoded
+    return chosen.mapInArrow(work, schema).withColumnRenamed("id", id_col)
 
 
 def decode(
@@ -74,21 +94,15 @@ def decode(
     id_col: str = "doc_id",
     ids_col: str = "ids",
     vocabulary: str | None = None,
-    step: int = 65_536,
+    step: int = STEP,
 ) -> DataFrame:
     """Returns id_col, ids_col and decoded (string) for every row; null ids are an empty
     text. Ids are read ``step`` at a time; those that are no UTF-8 text, or that the
     vocabulary lacks, raise an error."""
     path = vocabulary or vocabulary_path()
 
-    def text(ids: np.ndarray, known: Vocabulary) -> bytes:
-        stream = StreamingDecoder(known)
-        parts = [stream.feed(ids[at : at + step].tolist()) for at in range(0, len(ids), step)]
-        stream.finish()
-        return b"".join(parts)
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _vocabulary(path)
+        tokens = _tokens(path)
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(at, _SLICE)
@@ -97,7 +111,7 @@ def decode(
                 starts = lists.offsets.to_numpy()
                 valid = lists.is_valid().to_numpy(zero_copy_only=False)
                 found = [
-                    text(values[a:b], known) if ok else b""
+                    _text(values[a:b], tokens, step) if ok else b""
                     for a, b, ok in zip(starts, starts[1:], valid, strict=False)
                 ]
                 texts = pa.array(found, pa.binary()).cast(pa.string())

@@ -4,8 +4,8 @@ Every document becomes its set of hashed five-word shingles. Equal sets are one
 hash value deals a set's shingles into bins and each bin keeps its smallest; an empty bin
 takes the value of a filled one that a hash of bin and attempt picks, the same for all
 documents. Bands of bins are bucket keys. In a bucket only links to its smallest member are
-tried, on the full sets. Members that stay apart from it form the next, smaller star of the
-bucket, until a round finds no link.
+tried, on the full sets. Members whose group is not the hub's form the next, smaller stars of
+the bucket, with a few hubs each, until a round finds no link between two groups.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowwarden.llm.common import mix64, splits, stored, texts_of
@@ -23,6 +23,7 @@ from flowwarden.llm.components import components
 
 WORDS = 5
 BINS, ROWS = 128, 4
+LATER_HUBS = 4
 _CHUNK = 1 << 20
 _U = np.uint64
 
@@ -221,15 +222,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = members.select("doc").distinct()
     compared = _among(texts, wanted).groupBy("doc").agg(F.min("text").alias("text"))
     sets = stored(compared.mapInArrow(_sets, f"doc {kind}, shingles binary"), "sets")
-    links = None
+    links, groups, hubs = None, None, 1
     while True:
-        hubs = members.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("hub"))
-        tried = (
-            members.join(hubs, "key")
-            .where("doc > hub.doc AND 4 * least(n, hub.n) >= 3 * greatest(n, hub.n)")
-            .select(F.col("hub.doc").alias("a"), F.col("doc").alias("b"))
-            .distinct()
+        place = F.row_number().over(Window.partitionBy("key").orderBy("doc"))
+        centre = members.withColumn("place", place).where(F.col("place") <= hubs).select(
+            "key", *[F.col(c).alias(f"hub_{c}") for c in members.columns if c != "key"]
         )
+        near = members.join(centre, "key").where("doc > hub_doc AND 4 * least(n, hub_n) >= 3 * greatest(n, hub_n)")
+        if groups is not None:
+            near = near.where("`group` != hub_group")
+        tried = near.select(F.col("hub_doc").alias("a"), F.col("doc").alias("b")).distinct()
         pairs = (
             tried.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("right")), "b")
             .join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("left")), "a")
@@ -241,17 +243,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         links = found if links is None else links.union(found)
         groups = stored(components(links), "groups")
         links = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        of_member = groups.select(F.col("node").alias("doc"), F.col("component").alias("group"))
-        placed = members.join(of_member, "doc", "left").withColumn("group", F.coalesce("group", "doc"))
-        hub_doc = hubs.select("key", F.col("hub.doc").alias("hub")).join(
-            groups.select(F.col("node").alias("hub"), F.col("component").alias("hub_group")), "hub", "left"
-        )
-        hub_doc = hub_doc.select("key", F.coalesce("hub_group", "hub").alias("hub_group"))
-        rest = placed.join(hub_doc, "key").where("`group` != hub_group").select("key", "doc", "n")
-        counted = rest.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-        members = stored(rest.join(counted.where("low < high").select("key"), "key"), "members")
-        if members.isEmpty():
-            break
+        of_doc = groups.select(F.col("node").alias("doc"), F.col("component").alias("group"))
+        placed = members.select("key", "doc", "n").join(of_doc, "doc", "left")
+        placed = stored(placed.withColumn("group", F.coalesce("group", "doc")), "placed")
+        done = centre.select("key", F.col("hub_doc").alias("doc")).join(placed, ["key", "doc"]).select("key", "group")
+        rest = placed.join(done.distinct(), ["key", "group"], "left_anti")
+        mixed = rest.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+        members = stored(rest.join(mixed.where("low < high").select("key"), "key"), "members")
+        hubs = LATER_HUBS
     if links is None:
         named = classes.withColumn("component", F.col("doc"))
     else:

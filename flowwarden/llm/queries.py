@@ -59,8 +59,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = encode.encode(table(spark, sf_dir, "documents"))
-    return encode.digests(encode.decode(ids))
+    return encode.digests(encode.encode(table(spark, sf_dir, "documents"), decoded=True))
 
 
 QUERIES = {
