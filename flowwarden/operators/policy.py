@@ -214,10 +214,12 @@ def td_targets(rewarded: DataFrame, weights: list, gamma: float = GAMMA) -> Data
     )
 
 
-def curve_stats(losses: DataFrame, rewards: DataFrame) -> DataFrame:
-    """Mean of the newest 100 losses and of the newest 20 episode rewards."""
-    recent_losses = losses.orderBy(F.col("step").desc()).limit(100)
-    recent_rewards = rewards.orderBy(F.col("episode").desc()).limit(20)
+def curve_stats(
+    losses: DataFrame, rewards: DataFrame, last_losses: int = 100, last_rewards: int = 20
+) -> DataFrame:
+    """Mean of the newest `last_losses` losses and `last_rewards` episode rewards."""
+    recent_losses = losses.orderBy(F.col("step").desc()).limit(last_losses)
+    recent_rewards = rewards.orderBy(F.col("episode").desc()).limit(last_rewards)
     reward = recent_rewards.agg(F.coalesce(F.avg("reward"), F.lit(0.0))).scalar()
     return recent_losses.agg(F.coalesce(F.avg("loss"), F.lit(0.0)).alias("mean_loss")).withColumn(
         "mean_reward", reward

@@ -9,8 +9,6 @@ from flowwarden import schema as S
 from flowwarden.functions.features import is_normal
 from flowwarden.operators.slices import hash_rank, running_totals
 
-HISTORY_ROWS = 300
-EVENT_ROWS = 500
 TICKS = 60
 
 
@@ -150,10 +148,8 @@ def tick_deltas(ticks: DataFrame) -> DataFrame:
 
 
 def latest_alerts(events: DataFrame, n: int = 50) -> DataFrame:
-    """The newest n alerts (at most 300) in time order, with their position."""
-    newest = events.orderBy(F.col("ts_us").desc(), F.col("uid").desc()).limit(
-        min(n, HISTORY_ROWS)
-    )
+    """The newest n alerts in time order, with their position."""
+    newest = events.orderBy(F.col("ts_us").desc(), F.col("uid").desc()).limit(n)
     return newest.withColumn(
         "position", F.row_number().over(Window.orderBy("ts_us", "uid"))
     )
@@ -189,11 +185,11 @@ def event_history(
     event_type: str | None = None,
     since_us: int = 0,
     limit: int = 100,
-    keep: int = EVENT_ROWS,
+    keep: int | None = None,
 ) -> DataFrame:
-    """Newest `limit` matching events among the `keep` retained ones."""
+    """Newest `limit` matching events; with `keep`, only of the newest that are retained."""
     newest_first = [F.col("ts_us").desc(), F.col("event_id").desc()]
-    found = events.orderBy(*newest_first).limit(keep)
+    found = events if keep is None else events.orderBy(*newest_first).limit(keep)
     if event_type:
         found = found.where(F.col("type") == event_type)
     if since_us:
@@ -301,8 +297,8 @@ def shuffled_split(df: DataFrame, test_share: float, key: str = "uid") -> DataFr
 
 
 def warm_up(flows: DataFrame, wanted: int = 200) -> DataFrame:
-    """The earliest min(wanted, n // 2, 200) flows."""
-    size = min(wanted, flows.count() // 2, 200)
+    """The earliest min(wanted, n // 2) flows."""
+    size = min(wanted, flows.count() // 2)
     return flows.orderBy("ts_us", "uid").limit(size)
 
 

@@ -15,7 +15,6 @@ from flowwarden.operators.slices import previous_row
 COOLDOWN_SECONDS = 5.0
 ISOLATION_SECONDS = 300
 RATE_KBPS = 100
-AUDIT_ROWS = 10_000
 CRITICAL_HOSTS = ("10.0.0.1", "10.0.0.10")
 DROPPING = ("ISOLATE", "BLOCK")
 BASE_LATENCY_MS = 5.0
@@ -85,7 +84,7 @@ def _policy(position: int) -> Column:
 
 
 def rule_id() -> Column:
-    return F.concat(_policy(1), F.substring(F.md5("uid"), 1, 8))
+    return F.concat(_policy(1), F.md5("uid"))
 
 
 def policy_rules(decided: DataFrame, rate_kbps: int = RATE_KBPS) -> DataFrame:
@@ -175,30 +174,28 @@ def revoke(ledger: DataFrame, revocations: DataFrame) -> DataFrame:
     return seen.where("kind = 'revoke'").select(
         "host",
         "t_us",
-        F.substring("event", 2, 1000).alias("uid"),
+        F.expr("substring(event, 2)").alias("uid"),
         done.alias("revoked"),
         F.when(done, F.col("prev_rule_id")).alias("rule_id"),
     )
 
 
-def audit_log(decided: DataFrame, keep: int = AUDIT_ROWS) -> DataFrame:
-    """The newest successful actions; `keep` is the log's retention."""
+def audit_log(decided: DataFrame, keep: int | None = None) -> DataFrame:
+    """Successful actions; `keep`, the log's retention, leaves the newest ones only."""
     entry = F.when(F.col("action") != "MONITOR", rule_id())
-    return (
-        decided.where("success")
-        .orderBy(F.col("ts_us").desc(), F.col("uid").desc())
-        .limit(keep)
-        .select(
-            "ts_us",
-            "action",
-            F.col("src_ip").alias("target"),
-            "attack_type",
-            "severity",
-            "success",
-            entry.alias("entry_id"),
-            "notes",
-            "uid",
-        )
+    taken = decided.where("success")
+    if keep is not None:
+        taken = taken.orderBy(F.col("ts_us").desc(), F.col("uid").desc()).limit(keep)
+    return taken.select(
+        "ts_us",
+        "action",
+        F.col("src_ip").alias("target"),
+        "attack_type",
+        "severity",
+        "success",
+        entry.alias("entry_id"),
+        "notes",
+        "uid",
     )
 
 
@@ -245,7 +242,7 @@ def fleet_qos(hosts: DataFrame) -> DataFrame:
 def alert_events(decided: DataFrame) -> DataFrame:
     """What a dashboard shows per alert."""
     return decided.select(
-        F.substring(F.md5("uid"), 1, 8).alias("id"),
+        F.md5("uid").alias("id"),
         "uid",
         "ts_us",
         "src_ip",

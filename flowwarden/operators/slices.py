@@ -63,6 +63,13 @@ def total_order(order: str, tie: str) -> list[Column]:
     return [F.col(order), digest(tie), F.col(tie)]
 
 
+def join_groups(rows: DataFrame, per_group: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Join one row per group back to its rows; a null in the keys is a group like others."""
+    marked = per_group.withColumnsRenamed({g: f"_g_{g}" for g in groups})
+    same = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]
+    return rows.join(marked, same).drop(*[f"_g_{g}" for g in groups])
+
+
 def running_totals(
     df: DataFrame,
     order: str,
@@ -97,7 +104,7 @@ def running_totals(
         *sliced.columns,
         *[F.coalesce(F.sum(f"_m_{n}").over(within), F.lit(0.0)).alias(f"_w_{n}") for n in names],
     )
-    return partial.join(offsets, groups).select(
+    return join_groups(partial, offsets, groups).select(
         *df.columns, *[(F.col(f"_w_{n}") + F.col(f"_o_{n}")).alias(n) for n in names]
     )
 
@@ -122,8 +129,7 @@ def previous_row(
     )
     inside = Window.partitionBy(groups).orderBy(*total_order(order, tie))
     return (
-        sliced.withColumn("_inside", F.lag(packed).over(inside))
-        .join(earlier, groups)
+        join_groups(sliced.withColumn("_inside", F.lag(packed).over(inside)), earlier, groups)
         .withColumn("_prev", F.coalesce("_inside", "_earlier"))
         .select(*df.columns, *[F.col(f"_prev.{v}").alias(f"prev_{v}") for v in values])
     )
@@ -152,7 +158,6 @@ def hash_rank(
     )
     inside = Window.partitionBy(parts).orderBy("_hash", key)
     return (
-        hashed.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, parts)
+        join_groups(hashed.withColumn("_inside", F.row_number().over(inside)), offsets, parts)
         .select(*df.columns, (F.col("_inside") + F.col("_before")).cast("bigint").alias(name))
     )

@@ -1021,7 +1021,7 @@ def str3_cooldown(spark, sf):
 @query
 def str4_expiry(spark, sf):
     out, _, checkpoint = jobs.fresh_paths(spark, "expiry")
-    rules = ledger(spark, sf).select("rule_id", "match_src", "rule", "installed_us")
+    rules = ledger(spark, sf).select("rule_id", "uid", "match_src", "rule", "installed_us")
     with jobs.timer_state_store(spark):
         jobs.run_to_files(jobs.expired_rules(_feed(rules, "rules")), out, checkpoint)
     return spark.read.schema("rule_id string, host string, expires_us bigint").parquet(out)

@@ -585,7 +585,7 @@ FROM alerts a JOIN walk USING (uid))
 
 _SAFE = "NOT (action IN ('ISOLATE', 'BLOCK') AND (src_ip IN ('10.0.0.1', '10.0.0.10') OR dst_ip IN ('10.0.0.1', '10.0.0.10')))"
 _DECIDED = _decided(_SAFE)
-_RULE_ID = "CASE action WHEN 'RATE_LIMIT' THEN 'rl-' WHEN 'SEGMENT' THEN 'seg-' WHEN 'ISOLATE' THEN 'iso-' ELSE 'blk-' END || substr(md5(uid), 1, 8)"
+_RULE_ID = "CASE action WHEN 'RATE_LIMIT' THEN 'rl-' WHEN 'SEGMENT' THEN 'seg-' WHEN 'ISOLATE' THEN 'iso-' ELSE 'blk-' END || md5(uid)"
 _LEDGER = (
     _DECIDED
     + f"""
@@ -642,7 +642,7 @@ SQL["mt8_audit"] = over(
     _DECIDED,
     f"""
 SELECT ts_us, action, src_ip AS target, attack_type, severity, success, CASE WHEN action <> 'MONITOR' THEN {_RULE_ID} END AS entry_id, notes, uid
-FROM decided WHERE success ORDER BY ts_us DESC, uid DESC LIMIT 10000
+FROM decided WHERE success
 """,
     recursive=True,
 )
@@ -655,7 +655,7 @@ SQL["mt9_fleet_qos"] = over(
 _EVENT_ROWS = (
     _DECIDED
     + """
-, shown AS (SELECT substr(md5(uid), 1, 8) AS id, uid, ts_us, src_ip, dst_ip, attack_type, severity, round(confidence, 3) AS confidence,
+, shown AS (SELECT md5(uid) AS id, uid, ts_us, src_ip, dst_ip, attack_type, severity, round(confidence, 3) AS confidence,
   round(score, 3) AS score, CASE WHEN success THEN action ELSE 'BLOCKED' END AS action, success AS mitigated, label AS true_label FROM decided)
 """
 )
@@ -725,10 +725,9 @@ SQL["mx9_event_history"] = over(
 , bus AS (
 SELECT ts_us, uid, 'alert_generated' AS type, 'ids_pipeline' AS source, uid || '/0' AS event_id FROM decided
 UNION ALL SELECT ts_us, uid, 'mitigation_applied', 'mitigation_engine', uid || '/1' FROM decided WHERE success)
-, kept AS (SELECT * FROM bus ORDER BY ts_us DESC, event_id DESC LIMIT 500)
 """,
     """
-SELECT * FROM kept WHERE type = 'mitigation_applied' AND ts_us >= (SELECT max(ts_us) FROM bus) - 30000000
+SELECT * FROM bus WHERE type = 'mitigation_applied' AND ts_us >= (SELECT max(ts_us) FROM bus) - 30000000
 ORDER BY ts_us DESC, event_id DESC LIMIT 100
 """,
     recursive=True,

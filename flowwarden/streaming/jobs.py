@@ -151,7 +151,7 @@ class RuleExpiry(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for pdf in rows:  # one row: the key is the rule's own id
+        for pdf in rows:  # one row: the key is the rule's own id and its flow
             for host, installed in zip(pdf["match_src"], pdf["installed_us"]):
                 due = int(installed) + self.milliseconds * 1000
                 self.rule.update((host, due))
@@ -176,7 +176,7 @@ def expired_rules(
     """
     # the clock follows the drop rules: the filter runs before the watermark is taken
     timed = with_event_time(rules.where("rule = 'drop'"), "installed_us", delay)
-    return timed.groupBy("rule_id").transformWithStateInPandas(
+    return timed.groupBy("rule_id", "uid").transformWithStateInPandas(
         RuleExpiry(seconds),
         "rule_id string, host string, expires_us bigint",
         "append",

@@ -122,3 +122,27 @@ def test_nearest_equals_brute_force(spark, monkeypatch):
         d2 = ((refs - q) ** 2).sum(axis=1)
         best = int(np.flatnonzero(d2 <= d2.min() + 1e-12)[0])
         assert found[i] == (f"r{best:03d}", f"l{best % 4}")
+
+
+def test_rows_without_a_time_keep_their_place(spark):
+    from pyspark.sql import functions as F
+
+    from flowwarden.operators.slices import previous_row, running_totals
+
+    rows = [(None, "a", 1.0), (5, "b", 2.0), (7, "c", 4.0)]
+    df = spark.createDataFrame(rows, "t long, uid string, x double")
+    sums = running_totals(df, "t", "uid", {"s": F.col("x")})
+    assert {r.uid: r.s for r in sums.collect()} == {"a": 0.0, "b": 1.0, "c": 3.0}
+    before = previous_row(df, [], "t", "uid", ["uid"])
+    assert {r.uid: r.prev_uid for r in before.collect()} == {"a": None, "b": "a", "c": "b"}
+
+
+def test_history_filters_before_it_cuts(spark):
+    from flowwarden.operators import quality
+
+    events = spark.range(2000).selectExpr("id AS ts_us", "if(id < 900, 'x', 'y') AS type", "cast(id AS string) AS event_id")
+    assert quality.event_history(events, "x", limit=700).count() == 700
+    assert quality.event_history(events, "x", limit=700, keep=500).count() == 0
+    alerts = events.withColumnRenamed("event_id", "uid")
+    assert quality.latest_alerts(alerts, 1000).count() == 1000
+    assert quality.warm_up(alerts, 600).count() == 600
