@@ -47,7 +47,7 @@ class WordEncoder:
     and line ends. At most ``max_words`` are kept, then all are forgotten.
     """
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
