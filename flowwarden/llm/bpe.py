@@ -120,7 +120,7 @@ class Transducer:
     """Encodes pieces byte by byte. At most ``max_states`` states are kept; beyond that
     all are forgotten and made again when met, which changes no result."""
 
-    def __init__(self, vocabulary: Vocabulary, max_states: int = 200_000):
+    def __init__(self, vocabulary: Vocabulary, max_states: int = 300_000):
         self.vocabulary = vocabulary
         self.max_states = max_states
         self._apart: dict[int, bool] = {}
@@ -256,7 +256,7 @@ class TextEncoder:
     """Encodes whole texts: cuts them by the pattern and sends pieces through the
     transducer. Words met before are kept, at most ``max_words``, then forgotten."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str, max_words: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, pattern: str, max_words: int = 600_000):
         self.transducer = Transducer(vocabulary)
         self.tokens = vocabulary.tokens
         self.pattern = regex.compile(pattern)
