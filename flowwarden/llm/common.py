@@ -56,13 +56,14 @@ class writer:
     """A file in the shared folder, visible under its name only once it is whole, so that a
     repeated task replaces it and a lost one leaves nothing that is read."""
 
-    def __init__(self, uri: str):
+    def __init__(self, uri: str, compression: str | None = None):
+        self._compression = compression
         self._fs, self._path = fs.FileSystem.from_uri(uri)
         self._fs.create_dir(os.path.dirname(self._path), recursive=True)
         self._part = f"{self._path}.{uuid.uuid4().hex}"
 
     def __enter__(self):
-        self._out = self._fs.open_output_stream(self._part)
+        self._out = self._fs.open_output_stream(self._part, compression=self._compression)
         return self._out
 
     def __exit__(self, kind, *_):
@@ -73,7 +74,9 @@ class writer:
             self._fs.delete_file(self._part)
 
 
-def reader(uri: str):
-    """A seekable file of the shared folder."""
+def reader(uri: str, compression: str | None = None):
+    """A file of the shared folder: seekable, or a stream where it is compressed."""
     found, path = fs.FileSystem.from_uri(uri)
+    if compression:
+        return found.open_input_stream(path, compression=compression)
     return found.open_input_file(path)

@@ -76,12 +76,12 @@ def _header(page, url, n_bytes, digest, refers_to) -> bytes:
 
 
 def write(rows: DataFrame, folder: str) -> DataFrame:
-    """Streams the chunks of each partition, which follow each other, into one archive.
-    Returns the archives: path and number of records."""
+    """Streams the chunks of each partition, which follow each other, into one
+    compressed archive. Returns the archives: path and number of records."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, n = f"{folder}/pages-{TaskContext.get().partitionId():07d}.warc", 0
-        with writer(path) as out:
+        path, n = f"{folder}/pages-{TaskContext.get().partitionId():07d}.warc.gz", 0
+        with writer(path, "gzip") as out:
             for batch in batches:
                 columns = [batch.column(i).to_pylist() for i in range(6)]
                 for i, row in enumerate(zip(*columns, strict=True)):
@@ -170,7 +170,7 @@ def read(archives: DataFrame, chunk: int = CHUNK, payloads: bool = True) -> Data
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 held, size = [], 0
-                with reader(path) as stream:
+                with reader(path, "gzip") as stream:
                     for row in archive_chunks(stream, chunk):
                         if not payloads:
                             row["data"] = None
