@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 from array import array
+from struct import Struct
 
 import regex
 
@@ -20,6 +21,8 @@ _NOWHERE = (FREE, FREE)
 #: A start with more possible tokens than this counts as open without a look at each.
 FEW = 32
 _NEVER = 1 << 62
+#: A start of a state: trie node or FREE, index of the start before, token from there.
+_START = Struct("=iii")
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -129,7 +132,7 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        start = ((0, FREE, FREE),)
+        start = _START.pack(0, FREE, FREE)
         self._number = {start: 0}
         self._states = [start]
         #: By state and byte the next state; below 0, the place of next state and tokens.
@@ -167,11 +170,10 @@ class Transducer:
         return found
 
     def _arc(self, state: int, byte: int) -> int:
-        """A state lists (trie node or FREE, index of the start before, token from there).
-        A byte moves every live start down the trie; the first start whose bytes are now a
+        """A state lists its starts, packed, since very many are kept. A byte moves every live start down the trie; the first start whose bytes are now a
         token that may stand there gives the way to the new end. What no live start
         descends from is dropped, and tokens that all of them share are emitted."""
-        arcs, starts = self.vocabulary.arcs, self._states[state]
+        arcs, starts = self.vocabulary.arcs, list(_START.iter_unpack(self._states[state]))
         nodes, origin, made = [], FREE, FREE
         for node, _, before in starts:
             if node >= 0:
@@ -193,7 +195,7 @@ class Transducer:
             root = self._only_branch(starts, nodes, branches, root)
             emitted += (starts[root][2] if root < end else made,)
         if root == end:
-            key = ((0, FREE, made),)
+            kept = [(0, FREE, made)]
         else:
             before = starts[root][2] if nodes[root] >= 0 else FREE
             place, kept = [0] * end, [(nodes[root], FREE, before)]
@@ -202,7 +204,7 @@ class Transducer:
                     place[i] = len(kept)
                     kept.append((nodes[i], place[starts[i][1]], starts[i][2]))
             kept.append((0, place[origin], made))
-            key = tuple(kept)
+        key = b"".join(_START.pack(*start) for start in kept)
         number = self._number.get(key)
         if number is None:
             number = self._number[key] = len(self._states)
@@ -221,7 +223,7 @@ class Transducer:
         return len(nodes)
 
     def _end(self, state: int) -> tuple[int, ...]:
-        starts = self._states[state]
+        starts = list(_START.iter_unpack(self._states[state]))
         at, tail = len(starts) - 1, []
         while starts[at][1] != FREE:
             tail.append(starts[at][2])
@@ -256,7 +258,7 @@ class TextEncoder:
     """Encodes whole texts: cuts them by the pattern and sends pieces through the
     transducer. Words met before are kept, at most ``max_words``, then forgotten."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str, max_words: int = 600_000):
+    def __init__(self, vocabulary: Vocabulary, pattern: str, max_words: int = 300_000):
         self.transducer = Transducer(vocabulary)
         self.tokens = vocabulary.tokens
         self.pattern = regex.compile(pattern)
