@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import base64
 from array import array
-from struct import Struct
+from struct import iter_unpack, pack
 
 import regex
 
@@ -22,7 +22,7 @@ _NOWHERE = (FREE, FREE)
 FEW = 32
 _NEVER = 1 << 62
 #: A start of a state: trie node or FREE, index of the start before, token from there.
-_START = Struct("=iii")
+_START = "=iii"
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -132,7 +132,7 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        start = _START.pack(0, FREE, FREE)
+        start = pack(_START, 0, FREE, FREE)
         self._number = {start: 0}
         self._states = [start]
         #: By state and byte the next state; below 0, the place of next state and tokens.
@@ -173,7 +173,7 @@ class Transducer:
         """A state lists its starts, packed, since very many are kept. A byte moves every live start down the trie; the first start whose bytes are now a
         token that may stand there gives the way to the new end. What no live start
         descends from is dropped, and tokens that all of them share are emitted."""
-        arcs, starts = self.vocabulary.arcs, list(_START.iter_unpack(self._states[state]))
+        arcs, starts = self.vocabulary.arcs, list(iter_unpack(_START, self._states[state]))
         nodes, origin, made = [], FREE, FREE
         for node, _, before in starts:
             if node >= 0:
@@ -204,7 +204,7 @@ class Transducer:
                     place[i] = len(kept)
                     kept.append((nodes[i], place[starts[i][1]], starts[i][2]))
             kept.append((0, place[origin], made))
-        key = b"".join(_START.pack(*start) for start in kept)
+        key = b"".join(pack(_START, *start) for start in kept)
         number = self._number.get(key)
         if number is None:
             number = self._number[key] = len(self._states)
@@ -223,7 +223,7 @@ class Transducer:
         return len(nodes)
 
     def _end(self, state: int) -> tuple[int, ...]:
-        starts = list(_START.iter_unpack(self._states[state]))
+        starts = list(iter_unpack(_START, self._states[state]))
         at, tail = len(starts) - 1, []
         while starts[at][1] != FREE:
             tail.append(starts[at][2])

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from types import ModuleType
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowwarden.session import scratch_path, stored
 
-__all__ = ["mix64", "reader", "scratch_path", "splits", "stored", "table", "texts_of", "writer"]
+__all__ = ["kept", "mix64", "reader", "scratch_path", "splits", "stored", "table", "texts_of", "writer"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +46,16 @@ def splits(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         first = last
 
 
+def kept(key: tuple, make: Callable[[], Any]) -> Any:
+    """What ``make`` returns, made once in a process. Functions reach the Python workers by
+    value, so variables of their modules last for one task; a module of the process's own
+    serves all tasks of a worker."""
+    held = sys.modules.setdefault("flowwarden_kept", ModuleType("flowwarden_kept")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (fixed multipliers)."""
     x = x ^ (x >> np.uint64(30))

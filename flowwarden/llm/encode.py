@@ -12,13 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowwarden.llm.bpe import StreamingDecoder, TextEncoder, Vocabulary, ranks_of
+from flowwarden.llm.common import kept
 
 _SLICE = 512
 #: Ids that the streaming decoder takes at a time.
 STEP = 65_536
-#: One encoder per Python worker: its states and words serve all tasks of the worker.
-_ENCODERS: dict[tuple[str, str], TextEncoder] = {}
-_TOKENS: dict[str, dict[int, bytes]] = {}
 
 
 def vocabulary_path() -> str:
@@ -26,17 +24,12 @@ def vocabulary_path() -> str:
 
 
 def _tokens(path: str) -> dict[int, bytes]:
-    if path not in _TOKENS:
-        _TOKENS[path] = {rank: token for token, rank in ranks_of(path).items()}
-    return _TOKENS[path]
+    return kept(("tokens", path), lambda: {rank: token for token, rank in ranks_of(path).items()})
 
 
 def _encoder(path: str, pattern: str) -> TextEncoder:
-    key = (path, pattern)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = TextEncoder(Vocabulary(ranks_of(path)), pattern)
-        gc.freeze()
-    return _ENCODERS[key]
+    """One encoder per Python worker: its states and words serve all tasks of the worker."""
+    return kept(("byte-level", path, pattern), lambda: TextEncoder(Vocabulary(ranks_of(path)), pattern))
 
 
 def _lists(found: list[bytes]) -> pa.Array:
