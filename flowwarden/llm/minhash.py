@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowwarden.llm.common import mix64, splits, stored, texts_of
+from flowwarden.llm.common import kept, mix64, splits, stored, texts_of
 from flowwarden.llm.components import components
 
 WORDS = 5
@@ -40,8 +40,10 @@ _BYTE = np.where(_IS_WORD, _randoms(256, 1), _U(0))
 _PLACE = _randoms(WORDS, 2)
 _SHORT = _randoms(WORDS, 3)
 _BASE = 0x2545F4914F6CDD1D
-_POWERS = np.cumprod(np.full(_CHUNK, _BASE, _U))
-_INVERSE = np.cumprod(np.full(_CHUNK, pow(_BASE, -1, 1 << 64), _U))
+
+
+def _powers(base: int) -> np.ndarray:
+    return kept(("powers", base), lambda: np.cumprod(np.full(_CHUNK, base, _U)))
 
 
 def _hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,8 +56,8 @@ def _hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     at = np.flatnonzero(begins)
     if not len(at):
         return np.empty(0, _U), np.zeros(len(offsets) - 1, np.int64)
-    sums = np.add.reduceat(_BYTE[_LOWER[data]] * _POWERS[: len(data)], at)
-    return mix64(sums * _INVERSE[at]), np.diff(np.searchsorted(at, offsets))
+    sums = np.add.reduceat(_BYTE[_LOWER[data]] * _powers(_BASE)[: len(data)], at)
+    return mix64(sums * _powers(pow(_BASE, -1, 1 << 64))[at]), np.diff(np.searchsorted(at, offsets))
 
 
 def _row_words(data: np.ndarray) -> np.ndarray:
@@ -273,7 +275,7 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row, with all its columns, of each group of near-duplicates: the smallest id, and
     of rows that share it the one with the smallest text. Rows without an id all stay."""
     found = near_duplicates(df, id_col, text_col).where("kept")
-    kept = found.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("kept__")).distinct()
+    smallest = found.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("kept__")).distinct()
     row = F.min_by(F.struct(*df.columns), F.coalesce(F.col(text_col), F.lit("")))
-    named = df.join(kept, F.col(id_col) == F.col("kept__")).groupBy("kept__").agg(row.alias("row"))
+    named = df.join(smallest, F.col(id_col) == F.col("kept__")).groupBy("kept__").agg(row.alias("row"))
     return named.select("row.*").union(df.where(F.col(id_col).isNull()))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowwarden.llm.common import reader, scratch_path, stored, writer
+from flowwarden.llm.common import kept, reader, scratch_path, stored, writer
 
 END_ID = 1
 #: Documents, and bytes of each, that the dictionary is trained on (in expectation).
@@ -32,7 +32,6 @@ DICTIONARY_BYTES = 65_536
 _MAGIC = b"IDX1"
 _HEADER = "<4sQIQ"
 _ROW = np.dtype([("id", "<i8"), ("null", "u1"), ("start", "<i8"), ("n", "<i8"), ("at", "<i8")])
-_CODERS: dict[str, WordEncoder] = {}
 
 
 def vocabulary_path() -> str:
@@ -47,7 +46,7 @@ class WordEncoder:
     and line ends. At most ``max_words`` are kept, then all are forgotten.
     """
 
-    def __init__(self, path: str, max_words: int = 1_200_000):
+    def __init__(self, path: str, max_words: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -79,9 +78,7 @@ class WordEncoder:
 
 
 def _coder(path: str) -> WordEncoder:
-    if path not in _CODERS:
-        _CODERS[path] = WordEncoder(path)
-    return _CODERS[path]
+    return kept(("words", path), lambda: WordEncoder(path))
 
 
 def _width(size: int) -> str:
