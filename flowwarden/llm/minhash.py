@@ -4,8 +4,10 @@ Every document becomes its set of hashed five-word shingles. Equal sets are one
 hash value deals a set's shingles into bins and each bin keeps its smallest; an empty bin
 takes the value of a filled one that a hash of bin and attempt picks, the same for all
 documents. Bands of bins are bucket keys. In a bucket only links to its smallest member are
-tried, on the full sets. Members whose group is not the hub's form the next, smaller stars of
-the bucket, with a few hubs each, until a round finds no link between two groups.
+tried, on the full sets. What may still be linked across groups forms the next, smaller stars
+over each document's rarest shingles, with more hubs each, until no bucket holds two such
+groups: no pair is left out unless it is within one group, too far apart by the triangle
+inequality, or without a common bucket of either kind.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from flowwarden.llm.components import components
 
 WORDS = 5
 BINS, ROWS = 128, 4
-LATER_HUBS = 4
+LATER_HUBS = 8
 _CHUNK = 1 << 20
 _U = np.uint64
 
@@ -168,16 +170,21 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), packed], ["doc", "shingles"])
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
+        distance, linked = [], []
         for left, right in zip(batch.column(2), batch.column(3), strict=True):
             a, b = np.frombuffer(left.as_buffer(), _U), np.frombuffer(right.as_buffer(), _U)
             both = np.concatenate((a, b))
             both.sort()
             shared = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * shared >= 75 * (len(a) + len(b) - shared))
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            every = len(a) + len(b) - shared
+            distance.append(1 - shared / every)
+            linked.append(100 * shared >= 75 * every)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(distance, pa.float64()), pa.array(linked, pa.bool_())],
+            ["a", "b", "distance", "linked"],
+        )
 
 
 def _among(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -195,6 +202,78 @@ def _among(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return near.select("doc", "text").join(wanted, "doc", "left_semi")
 
 
+def _open(members: DataFrame, groups: DataFrame | None, centre: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets that may still hold a link between two groups.
+
+    Hubs have met all others of their bucket. A member of the first hub's group can go too
+    if it is nearer to that hub than every other group by more than a link's length: shares
+    of shingles make a metric, so no link can lead from it to another group.
+    """
+    columns = [c for c in members.columns if c != "group"]
+    placed = members.select(*columns).withColumn("group", F.col("doc"))
+    if groups is not None:
+        of_doc = groups.select(F.col("node").alias("doc"), F.col("component").alias("group"))
+        placed = members.select(*columns).join(of_doc, "doc", "left")
+        placed = placed.withColumn("group", F.coalesce("group", "doc"))
+    placed = stored(placed, "placed")
+    mixed = placed.groupBy("key").agg(
+        F.min("group").alias("low"),
+        F.max("group").alias("high"),
+        F.min("doc").alias("hub"),
+        F.min_by(F.struct("n", "group"), "doc").alias("x"),
+    )
+    mixed = mixed.where("low < high").select("key", "hub", F.col("x.n").alias("hub_n"), F.col("x.group").alias("hub_group"))
+    met = found.select(F.col("a").alias("hub"), F.col("b").alias("doc"), "distance")
+    star = placed.join(mixed, "key").join(met, ["hub", "doc"], "left")
+    star = stored(star.withColumn("own", F.col("group") == F.col("hub_group")), "star")
+    least = F.coalesce("distance", 1 - F.least("n", "hub_n") / F.greatest("n", "hub_n"))
+    others = star.where("NOT own").groupBy("key").agg(F.min(least).alias("nearest"))
+    hubs = centre.select("key", F.col("hub_doc").alias("doc"))
+    return _several(
+        star.join(others, "key")
+        .where(~F.col("own") | (F.coalesce("distance", F.lit(1.0)) + 0.25 + 1e-9 >= F.col("nearest")))
+        .join(hubs, ["key", "doc"], "left_anti")
+        .select(*columns, "group")
+    )
+
+
+def _several(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold two groups or more."""
+    ends = members.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+    return members.join(ends.where("low < high").select("key"), "key")
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            found = np.frombuffer(batch.column(3)[row].as_buffer(), np.int64)
+            for at in range(0, len(found), 1 << 16):
+                part = found[at : at + (1 << 16)]
+                same = [pa.repeat(batch.column(k)[row], len(part)) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(part), *same], ["key", "doc", "n", "group"])
+
+
+def _rarest(members: DataFrame, sets: DataFrame, kind: str) -> DataFrame:
+    """The same documents in exact buckets: one for each of a document's rarest shingles.
+
+    Two sets that link share 75 % of either, so they share one of the n - ceil(0.75 n) + 1
+    shingles that are rarest in each by one order. Where many documents share a passage and
+    no more, their rarest shingles differ and they meet nowhere.
+    """
+    docs = members.select("doc", "n", "group").distinct()
+    rows = docs.join(sets, "doc").select("doc", "n", "group", "shingles")
+    single = stored(rows.mapInArrow(_shingles, f"key long, doc {kind}, n long, group {kind}"), "single")
+    often = single.groupBy("key").agg(F.count("*").alias("docs")).where("docs > 1")
+    own = Window.partitionBy("doc")
+    ranked = single.join(often, "key").withColumns({
+        "place": F.row_number().over(own.orderBy("docs", "key")),
+        "often": F.count("*").over(own),
+    })
+    # shingles of one document alone come first in the order and are not among the rows
+    prefix = ranked.withColumn("at", F.expr("place + n - often")).where("at <= n - ceil(0.75 * n) + 1")
+    return _several(prefix.select("key", "doc", "n", "at", "group"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns id_col, n_shingles, component_id, kept for every row, repeated rows included.
 
@@ -225,34 +304,33 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     compared = _among(texts, wanted).groupBy("doc").agg(F.min("text").alias("text"))
     sets = stored(compared.mapInArrow(_sets, f"doc {kind}, shingles binary"), "sets")
     links, groups, hubs = None, None, 1
-    while True:
+    while not members.isEmpty():
         place = F.row_number().over(Window.partitionBy("key").orderBy("doc"))
         centre = members.withColumn("place", place).where(F.col("place") <= hubs).select(
-            "key", *[F.col(c).alias(f"hub_{c}") for c in members.columns if c != "key"]
+            "key", "place", *[F.col(c).alias(f"hub_{c}") for c in members.columns if c != "key"]
         )
         near = members.join(centre, "key").where("doc > hub_doc AND 4 * least(n, hub_n) >= 3 * greatest(n, hub_n)")
-        if groups is not None:
-            near = near.where("`group` != hub_group")
+        if "group" in members.columns:
+            # where the first shared shingle of a link may stand in both
+            shared = F.ceil(3 * (F.col("n") + F.col("hub_n")) / 7 - 1e-9)
+            first = (F.col("at") + shared <= F.col("n") + 1) & (F.col("hub_at") + shared <= F.col("hub_n") + 1)
+            near = near.where((F.col("place") == 1) | ((F.col("group") != F.col("hub_group")) & first))
         tried = near.select(F.col("hub_doc").alias("a"), F.col("doc").alias("b")).distinct()
         pairs = (
             tried.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("right")), "b")
             .join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("left")), "a")
             .select("a", "b", "left", "right")
         )
-        found = stored(pairs.mapInArrow(_linked, f"a {kind}, b {kind}"), "found")
-        if found.isEmpty():
-            break
-        links = found if links is None else links.union(found)
-        groups = stored(components(links), "groups")
-        links = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        of_doc = groups.select(F.col("node").alias("doc"), F.col("component").alias("group"))
-        placed = members.select("key", "doc", "n").join(of_doc, "doc", "left")
-        placed = stored(placed.withColumn("group", F.coalesce("group", "doc")), "placed")
-        done = centre.select("key", F.col("hub_doc").alias("doc")).join(placed, ["key", "doc"]).select("key", "group")
-        rest = placed.join(done.distinct(), ["key", "group"], "left_anti")
-        mixed = rest.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"))
-        members = stored(rest.join(mixed.where("low < high").select("key"), "key"), "members")
-        hubs = LATER_HUBS
+        found = stored(pairs.mapInArrow(_compared, f"a {kind}, b {kind}, distance double, linked boolean"), "found")
+        new = found.where("linked").select("a", "b")
+        if not new.isEmpty():
+            links = new if links is None else links.union(new)
+            groups = stored(components(links), "groups")
+            links = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        members = stored(_open(members, groups, centre, found), "members")
+        if hubs == 1:
+            members = stored(_rarest(members, sets, kind), "rarest")
+        hubs *= LATER_HUBS
     if links is None:
         named = classes.withColumn("component", F.col("doc"))
     else:

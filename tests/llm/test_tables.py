@@ -84,6 +84,30 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(want.values()))
 
 
+def test_near_duplicates_of_one_crowd(spark):
+    """Many copies about as far from each other as a link reaches: all meet in the same
+    buckets, and most links are not to the smallest id."""
+    draw = random.Random(7)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(400):
+        text = list(base)
+        for at in draw.sample(range(90), draw.choice([1, 2, 3, 4])):
+            text[at] = draw.choice(["x", "y", f"u{i}"])
+        rows.append((1000 - i, " ".join(text)))
+    sets = {i: shingles(t) for i, t in rows}
+    links = [
+        (a, b)
+        for a, b in itertools.combinations(sets, 2)
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    ]
+    want = groups_of(list(sets), links)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()}
+    assert got == {i: want[i] for i in sets}
+    assert len(set(got.values())) > 20
+
+
 def test_near_duplicates_edge_rows(spark):
     rows = [(1, "a b c"), (1, "a b c"), (None, "a b c"), (None, None), (5, "A B\tc")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
