@@ -25,7 +25,7 @@ from flowwarden.llm.components import components
 
 WORDS = 5
 BINS, ROWS = 128, 4
-LATER_HUBS = 8
+LATER_HUBS = 64
 _CHUNK = 1 << 20
 _U = np.uint64
 
@@ -203,19 +203,22 @@ def _among(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, groups: DataFrame | None, centre: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of buckets that may still hold a link between two groups.
+    """Members of buckets that may still hold a link between two groups; ``groups`` is None
+    where they are as before.
 
     Hubs have met all others of their bucket. A member of the first hub's group can go too
     if it is nearer to that hub than every other group by more than a link's length: shares
     of shingles make a metric, so no link can lead from it to another group.
     """
     columns = [c for c in members.columns if c != "group"]
-    placed = members.select(*columns).withColumn("group", F.col("doc"))
     if groups is not None:
         of_doc = groups.select(F.col("node").alias("doc"), F.col("component").alias("group"))
         placed = members.select(*columns).join(of_doc, "doc", "left")
-        placed = placed.withColumn("group", F.coalesce("group", "doc"))
-    placed = stored(placed, "placed")
+        placed = stored(placed.withColumn("group", F.coalesce("group", "doc")), "placed")
+    elif "group" in members.columns:
+        placed = members
+    else:
+        placed = members.withColumn("group", F.col("doc"))
     mixed = placed.groupBy("key").agg(
         F.min("group").alias("low"),
         F.max("group").alias("high"),
@@ -323,12 +326,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         )
         found = stored(pairs.mapInArrow(_compared, f"a {kind}, b {kind}, distance double, linked boolean"), "found")
         new = found.where("linked").select("a", "b")
-        if not new.isEmpty():
+        changed = not new.isEmpty()
+        if changed:
             links = new if links is None else links.union(new)
             groups = stored(components(links), "groups")
             links = groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        members = stored(_open(members, groups, centre, found), "members")
-        if hubs == 1:
+        members = stored(_open(members, groups if changed else None, centre, found), "members")
+        if hubs == 1 and not members.isEmpty():
             members = stored(_rarest(members, sets, kind), "rarest")
         hubs *= LATER_HUBS
     if links is None:
