@@ -174,6 +174,33 @@ def test_top_k_equals_all_pairs(spark):
     assert vafile.top_k(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind,largest,wide", [("float", 1e3, False), ("float", 1e5, True), ("float", 1e16, True), ("double", 2.0**300, True)])
+def test_top_k_of_long_and_large_vectors(spark, kind, largest, wide):
+    draw = random.Random(5)
+    rows = [(i, [draw.gauss(0, 1) for _ in range(3_072)]) for i in range(30)]
+    rows += [(30 + i, [largest * (i + 1), *[draw.gauss(0, 1) for _ in range(3_071)]]) for i in range(2)]
+    rows += [(40 + i, [draw.gauss(0, 1) * 3e5 for _ in range(24)]) for i in range(11)]
+    rows += [(60, [1e9 if wide else 1.0] * 24), (61, [0.0] * 24)]
+    if largest > 1e30:
+        rows = [(i, v) for i, v in rows if i not in (30, 31)] + [(70, [largest, 0.0]), (80, [0.0, 1.0]), (90, [2.0**-250, -1.0]), (71, [0.0, 7.5])]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    whole = {r.vec_id: [math.floor(256 * x) for x in r.embedding] for r in df.collect()}
+    want = []
+    for q in (i for i in whole if i % 10 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))
+        want += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scores[:5])]
+    found = vafile.top_k(df, every=10)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    assert found.schema["score"].dataType.simpleString() == ("decimal(38,0)" if wide else "bigint")
+    assert {r[0] for r in want} >= {0, 10, 20, 40, 50, 60}
+
+
+def test_top_k_of_too_large_products(spark):
+    df = spark.createDataFrame([(0, [1e30]), (1, [1e30])], "vec_id long, embedding array<float>")
+    with pytest.raises(Exception, match="38 digits"):
+        vafile.top_k(df).collect()
+
+
 def test_near_vectors_equal_all_pairs(spark):
     rows = vectors()
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit(1))
