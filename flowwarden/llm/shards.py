@@ -43,15 +43,17 @@ class WordEncoder:
 
     The file's rules turn runs of white space into one blank, lower-case letter by letter
     and never join across white space, so a text's ids are those of its parts between blanks
-    and line ends. At most ``max_words`` are kept, then all are forgotten.
+    and line ends. At most ``max_words`` are kept, then all are forgotten. With ``added`` the
+    file's added tokens, which hold no blank, are found in a text as the library does unless
+    told otherwise; without, they are text like any other.
     """
 
-    def __init__(self, path: str, max_words: int = 600_000):
+    def __init__(self, path: str, max_words: int = 600_000, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._library = Tokenizer.from_file(path)
-        self._library.encode_special_tokens = True
+        self._library.encode_special_tokens = not added
         self.size = self._library.get_vocab_size()
         self.max_words = max_words
         self._words: dict[str, bytes] = {}
@@ -78,7 +80,7 @@ class WordEncoder:
 
 
 def _coder(path: str) -> WordEncoder:
-    return kept(("words", path), lambda: WordEncoder(path))
+    return kept(("words", path), lambda: WordEncoder(path, added=True))
 
 
 def _width(size: int) -> str:

@@ -106,6 +106,27 @@ def test_shards_round_trip(spark, tmp_path):
     file.close()
 
 
+def test_shards_of_added_tokens(spark, tmp_path):
+    texts = ["a<|endoftext|>b", "(<|startoftext|>), x.<|endoftext|>.", "<|endoftext|>", "İ<|STARTOFTEXT|>!<|endoftext|><|startoftext|>é\u0301", "the end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = shards.read_shards(shards.write_shards(df, str(tmp_path)), str(tmp_path)).orderBy("doc_id").collect()
+    library, at = Tokenizer.from_file(shards.vocabulary_path()), 0
+    assert library.encode(texts[0], add_special_tokens=False).ids == [320, 49407, 321]
+    for r, text in zip(got, texts, strict=True):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 1]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        at += len(ids)
+
+
+def test_word_encoder_of_added_tokens_equals_library():
+    path, draw = shards.vocabulary_path(), random.Random(11)
+    whole, words = Tokenizer.from_file(path), shards.WordEncoder(path, max_words=400, added=True)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", *ALPHABET]
+    for text in ("".join(draw.choice(parts) for _ in range(draw.randint(0, 25))) for _ in range(1500)):
+        want = whole.encode(text, add_special_tokens=False).ids
+        assert words.encode(text) == struct.pack(f"<{len(want)}I", *want), text
+
+
 def test_shards_of_nothing(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert shards.read_shards(shards.write_shards(df, str(tmp_path)), str(tmp_path)).count() == 0
