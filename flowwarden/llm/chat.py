@@ -24,7 +24,8 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """``messages``: node (unique), parent, score. Returns leaf, node, place (from the root,
     from 0) for the ``branches`` best paths of every root: largest sum of scores (null: 0),
     ties to the smaller leaf. A parent that is no message makes a root. Messages that answer
-    each other in a circle have no root and are left out; so are rows without a node.
+    each other in a circle have no root and are left out, as are those that lead into one and
+    rows without a node.
 
     The k-th self-join adds the ancestors 2^k to 2^(k+1) - 1 steps up, so the number of joins
     is the logarithm of the longest path. Only keys travel; a much answered message is many
@@ -36,15 +37,19 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     known = nodes.select(F.col("node").alias("parent"))
     up = stored(nodes.select("node", "parent").join(known, "parent").select("node", F.col("parent").alias("above")), "up")
     leaves = nodes.select("node").join(up.select(F.col("above").alias("node")).distinct(), "node", "left_anti")
-    listed = leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("far"))
-    step, most = 1, nodes.count()
+    levels, step, most = [], 1, nodes.count()
     while step <= most and not up.isEmpty():
-        further = listed.join(up, "node").select("leaf", F.col("above").alias("node"), (F.col("far") + step).alias("far"))
-        listed = stored(listed.union(further), "listed")
+        levels.append((step, up))
         twice = up.select("node", F.col("above").alias("middle")).join(
             up.select(F.col("node").alias("middle"), "above"), "middle"
         )
         up, step = stored(twice.select("node", "above"), "up"), 2 * step
+    if step > most:  # more steps up than there are messages: into a circle
+        leaves = leaves.join(up.select("node"), "node", "left_anti")
+    listed = leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("far"))
+    for step, up in levels:
+        further = listed.join(up, "node").select("leaf", F.col("above").alias("node"), (F.col("far") + step).alias("far"))
+        listed = stored(listed.union(further), "listed")
     scored = listed.join(nodes.select("node", "score"), "node").groupBy("leaf").agg(
         F.sum("score").alias("score"),
         F.max(F.struct("far", "node")).alias("top"),

@@ -269,6 +269,16 @@ def test_reply_trees(spark):
     assert chat.paths(df.limit(0)).count() == 0
 
 
+def test_reply_trees_with_tailed_circles(spark):
+    rows = [("x", "y", 1.0), ("y", "x", 1.0), ("a", "x", 9.0), ("b", "a", 9.0), ("c", "a", 0.0), ("s", "s", 1.0), ("t", "s", 1.0)]
+    rows += [("p", "q", 1.0), ("q", "o", 1.0), ("o", "p", 1.0), ("d", "q", 1.0), ("r", None, 1.0), ("e", "r", 1.0)]
+    df = spark.createDataFrame(rows, "node string, parent string, score double")
+    for branches in (1, 9):
+        got = sorted((r.leaf, r.place, r.node) for r in chat.paths(df, branches).collect())
+        assert got == [("e", 0, "r"), ("e", 1, "e")]
+    assert chat.paths(df.where("node IN ('x', 'y', 'a')")).count() == 0
+
+
 def test_chat_tables(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo <|im_end|>"), (1, 1, "assistant", "yo <|im_end|>"), (2, None, None, None), (None, 1, "assistant", "é")]
     df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").withColumn("node", F.lit("x"))
