@@ -9,11 +9,14 @@ import math
 import random
 import re
 
+import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from flowwarden.llm import chat, components, minhash, mixing, pigeonhole, urls, vafile, warc
+from flowwarden.llm import bpe, chat, components, encode, langid, minhash, mixing, pigeonhole, urls, vafile, warc
 
 
 def groups_of(nodes, links):
@@ -222,6 +225,21 @@ def test_near_vectors_equal_all_pairs(spark):
     assert pigeonhole.near_vectors(twice.limit(0)).count() == 0
 
 
+def test_near_vectors_on_the_edge_of_a_block(spark):
+    """A link that lies within the slack of its first block, two cells apart by its share."""
+    low, high, apart = -1e-6, math.sqrt(0.1 + 1.5e-5) - 1e-6, 0.3
+    both = (low**2 - high**2) / apart
+    turned = np.zeros((2, 32))
+    turned[:, 0] = low, high
+    turned[:, 16] = (both - apart) / 2, (both + apart) / 2
+    turned[:, 17] = math.sqrt(1 - low**2 - turned[0, 16] ** 2)
+    rows = (turned @ pigeonhole._rotation(32)).tolist()
+    assert np.dot(*rows) > 0.9
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in pigeonhole.near_vectors(df).collect())
+    assert got == [(0, 1, 0, True), (1, 1, 0, False)]
+
+
 def test_url_lists_as_of_the_fetch(spark):
     day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
     entries = [
