@@ -342,3 +342,73 @@ def test_pipeline_stages(spark):
     assert rows.count() == before.count() > 0
     decoded = {r.decoded_sha256 for r in rows.collect()}
     assert decoded == {hashlib.sha256(r.text.encode()).hexdigest() for r in before.collect()}
+
+
+def mix_of(rows):
+    """Copies of each (id, source, size) by the rules of the mix: docstrings of mixing."""
+    sizes, times = {}, {}
+    for i, text, _, source in rows:
+        sizes[source] = sizes.get(source, 0) + len(words(text))
+        key = (i, source, len(words(text)))
+        times[key] = times.get(key, 0) + 1
+    order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    target, open_ = {}, set(order)
+    while open_:
+        share = (1.5 * sum(sizes.values()) - sum(target.values())) / sum(weight[s] for s in open_)
+        above = {s: 2.0 * sizes[s] for s in open_ if share * weight[s] > 2 * sizes[s]}
+        if not above:
+            target |= {s: share * weight[s] for s in open_}
+            break
+        target |= above
+        open_ -= set(above)
+    copies = {}
+    for s in order:
+        whole = math.floor(target[s] / sizes[s])
+        quota, before = target[s] - whole * sizes[s], 0
+        drawn = lambda k: hashlib.md5(f"mix{'null' if k[0] is None else k[0]}".encode()).hexdigest()[:15]
+        for key in sorted((k for k in times if k[1] == s), key=lambda k: (drawn(k), k[0] or 0, k[2])):
+            n = key[2] * times[key]
+            copies[key] = whole + (quota > 0 and 2 * before + n <= 2 * quota)
+            before += n
+    return copies
+
+
+def test_pipeline_run_equals_plain_chain(spark, tmp_path):
+    draw = random.Random(13)
+    vocabulary = {"en": "the house and dog with every weather thought should", "es": "la casa y el perro con cada tiempo debería niño"}
+    rows = []
+    for i in range(160):
+        lang = draw.choice(["en", "es"])
+        text = " ".join(draw.choice(vocabulary[lang].split()) for _ in range(draw.choice([3, 12, 40, 90])))
+        rows.append((i, text, draw.choice([lang, lang, None]), draw.choice(["web"] * 6 + ["books", "code", None])))
+    rows += [(200 + i, rows[7][1], rows[7][2], "web") for i in range(30)]
+    for i in range(40):  # copies with some words of their own, in another source
+        text = rows[draw.randrange(160)][1].split(" ")
+        text[draw.randrange(len(text))] = f"weather{i}"
+        rows.append((300 + i, draw.choice([" ", "\n"]).join(text), None, draw.choice(["copies", None])))
+    junk = [None, "", " \n", "123 !! 456", "\u2603 \u2603"]
+    rows += [(400 + i, text, draw.choice(["en", None]), "web") for i, text in enumerate(junk)]
+    rows += [(None, rows[3][1], "en", "books"), (None, rows[3][1], "en", "books"), (None, rows[5][1], None, None), (None, None, None, "web")]
+    draw.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    df.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+    model = langid.fit(df)
+    said = [(row, model.classify(row[1])) for row in rows]
+    known = [row for row, (lang, score) in said if lang != "und" and score >= 0.5]
+    assert len(known) == len(rows) - len(junk) - 1
+    sets = {row[0]: shingles(row[1]) for row in known if row[0] is not None}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    lowest = groups_of(list(sets), links)
+    left = [row for row in known if row[0] is None or lowest[row[0]] == row[0]]
+    copies = mix_of(left)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks_of(encode.vocabulary_path()), special_tokens={})
+    want = []
+    for i, text, _, source in left:
+        ids = library.encode_ordinary(text)
+        digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        want += [(str(i), len(ids), digest(",".join(map(str, ids))), digest(text))] * copies[i, source, len(words(text))]
+    assert len(left) < len(known) and set(copies.values()) >= {1, 2}
+    assert got == sorted(want)
