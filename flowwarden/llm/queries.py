@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowwarden.llm import chat, encode, langid, minhash, mixing, pigeonhole, shards, urls, vafile, warc
+from flowwarden.llm import (
+    chat,
+    encode,
+    langid,
+    minhash,
+    mixing,
+    pigeonhole,
+    recipes,
+    runs,
+    shards,
+    spectrum,
+    urls,
+    vafile,
+    warc,
+)
 from flowwarden.llm.common import stored, table
 
 
@@ -62,6 +76,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.digests(encode.encode(table(spark, sf_dir, "documents"), decoded=True))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recipes.duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spectrum.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))  # beyond a long: an error
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.runs(runs.with_repeats(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,5 +102,8 @@ QUERIES = {
         op8_minhash,
         op9_warc,
         op10_byte_bpe,
+        op11_exact_dedup,
+        op12_whitening,
+        op13_runs,
     )
 }
