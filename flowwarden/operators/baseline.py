@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from flowwarden import schema as S
 from flowwarden.functions.features import is_normal, statistical_severity
-from flowwarden.operators.slices import running_totals
+from flowwarden.operators.slices import merged, running_moments
 
 MIN_ROWS = 5
 EPSILON = 1e-9
@@ -40,6 +40,7 @@ class Baseline:
         )
 
 
+PRIOR_COLUMNS = [f"prior_{part}_{f}" for f in S.FEATURES for part in ("mean", "std")]
 NO_BASELINE = Baseline(0, dict.fromkeys(S.FEATURES, 0.0), dict.fromkeys(S.FEATURES, 0.0))
 
 
@@ -68,52 +69,29 @@ def fit_baseline(flows: DataFrame, normal_only: bool = True) -> Baseline:
     )
 
 
-def _measures(start: Baseline) -> dict[str, Column]:
-    """Sums that give the moments, taken around the baseline mean so that a large offset
-    costs no precision."""
-    shifted = {f: F.col(f).cast("double") - F.lit(float(start.mean[f])) for f in S.FEATURES}
-    measures = {"_n": F.lit(1.0)}
-    measures |= {f"_a_{f}": c for f, c in shifted.items()}
-    measures |= {f"_b_{f}": c * c for f, c in shifted.items()}
-    return measures
-
-
-def moment_sums(flows: DataFrame, keys: Sequence[str], start: Baseline = NO_BASELINE) -> DataFrame:
-    """The sums of a batch per key: what a later batch carries on from."""
-    return flows.groupBy(*keys).agg(*[F.sum(c).alias(n) for n, c in _measures(start).items()])
-
-
 def prior_moments(
     flows: DataFrame,
     start: Baseline = NO_BASELINE,
     keys: Sequence[str] = (),
-    bounds: Sequence[int] | None = None,
-    carried: DataFrame | None = None,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Per flow: prior_n, prior_mean_<f>, prior_std_<f> over the baseline and all
-    earlier flows (of the same keys, if given) in (ts_us, md5(uid)) order.
+    earlier flows (of the same keys, if given) in (ts_us, md5(uid)) order."""
+    seen = running_moments(flows, "ts_us", "uid", S.FEATURES, keys, slice_rows)
+    return with_priors(seen, start).select(*flows.columns, "prior_n", *PRIOR_COLUMNS)
 
-    `carried` holds the sums of earlier batches per key.
-    """
-    names = list(_measures(start))
-    summed = running_totals(flows, "ts_us", "uid", _measures(start), keys, bounds)
-    if carried is not None:
-        old = carried.select(*keys, *[F.col(n).alias(f"_old{n}") for n in names])
-        summed = summed.join(old, list(keys), "left").withColumns(
-            {n: F.col(n) + F.coalesce(f"_old{n}", F.lit(0.0)) for n in names}
-        )
-    rows = summed.withColumn("prior_n", F.col("_n") + F.lit(float(start.count)))
-    result = {}
+
+def with_priors(seen: DataFrame, start: Baseline) -> DataFrame:
+    """Baseline and the moments _n, _mean_<f>, _m2_<f> of what was seen since, together."""
+    n0 = F.lit(float(start.count))
+    result = {"prior_n": F.col("_n") + n0}
     for f in S.FEATURES:
-        delta = F.try_divide(F.col(f"_a_{f}"), F.col("prior_n"))
-        square = F.try_divide(
-            F.col(f"_b_{f}") + F.lit(float(start.count * start.variance[f])), F.col("prior_n")
-        )
-        spread = F.greatest(square - delta * delta, F.lit(0.0))
-        result[f"prior_mean_{f}"] = F.coalesce(F.lit(float(start.mean[f])) + delta, F.lit(0.0))
-        result[f"prior_std_{f}"] = F.when(F.col("prior_n") > 1, F.sqrt(spread)).otherwise(0.0)
-    moments_of = list(result)
-    return rows.withColumns(result).select(*flows.columns, "prior_n", *moments_of)
+        m0, m20 = F.lit(float(start.mean[f])), F.lit(float(start.variance[f] * start.count))
+        mean, m2 = merged(n0, m0, m20, F.col("_n"), F.col(f"_mean_{f}"), F.col(f"_m2_{f}"))
+        n = F.col("_n") + n0
+        result[f"prior_mean_{f}"] = mean
+        result[f"prior_std_{f}"] = F.when(n > 1, F.sqrt(F.try_divide(m2, n))).otherwise(0.0)
+    return seen.withColumns(result)
 
 
 def frozen_moments(flows: DataFrame, baseline: Baseline) -> DataFrame:

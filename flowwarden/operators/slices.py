@@ -1,66 +1,54 @@
 """Ordered computations that never put one key, or the whole table, in one task.
 
-Rows are cut into slices of similar size along the order column. Each slice is
-processed on its own and summarised in one row; the summaries (at most a few
-thousand) are combined and handed back to the slices. A value of the order column
-that alone fills a slice is split further by a hash of the tie-break column, which is
-also the order among equal values.
+Rows are dealt into range partitions of the full order, tie-break included, so an instant
+that most rows share is cut like any other stretch. A partition is a slice. Each slice is
+processed on its own and summarised in one row; the summaries are scanned and handed back
+to the slices. The number of slices follows the number of rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE = ["_slice", "_sub"]
-MAX_SLICES = 1024
+from flowwarden.session import stored
+
+SLICE = "_slice"
+#: Rows of a slice in large tables; small ones are cut for every core, down to LEAST_ROWS.
+SLICE_ROWS = 1 << 21
+LEAST_ROWS = 10_000
 
 
 def digest(key: str) -> Column:
     return F.md5(F.col(key).cast("string"))
 
 
-def slice_bounds(df: DataFrame, order: str, slices: int | None = None) -> list[int]:
-    """Inner bounds that cut a whole-number order column into similar parts.
+def total_order(order: str, tie: str) -> list[Column]:
+    return [F.col(order), digest(tie), F.col(tie)]
 
-    A value met at two or more quantiles gets a slice of its own.
-    """
-    n = slices or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = min(n, MAX_SLICES)
-    if n < 2:
-        return []
-    fractions = [i / n for i in range(1, n)]
-    found = df.agg(F.percentile_approx(order, fractions, 20 * n)).first()[0] or []
-    cuts = set(found)
-    cuts |= {b + 1 for a, b in zip(found, found[1:]) if a == b}
-    return sorted(cuts)
 
+def slice_count(df: DataFrame, rows: int, slice_rows: int | None = None) -> int:
+    if slice_rows:
+        return max(-(-rows // slice_rows), 1)
+    cores = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(-(-rows // SLICE_ROWS), min(cores, -(-rows // LEAST_ROWS)), 1)
 
-def add_slices(
-    df: DataFrame, order: str, tie: str, bounds: Sequence[int] | None = None
-) -> DataFrame:
-    """Add the slice columns; (slice, sub) is monotone in (order, md5(tie))."""
-    cuts = list(slice_bounds(df, order) if bounds is None else bounds)
-    splits = [-float("inf"), *map(float, cuts), float("inf")]
-    if len(splits) < 3:
-        return df.withColumns({"_slice": F.lit(0), "_sub": F.lit("")})
-    points = [i + 1 for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b == a + 1]
-    placed = Bucketizer(splits=splits, inputCol="_order", outputCol="_place").transform(
-        df.withColumn("_order", F.col(order).cast("double"))
-    )
-    alone = F.col("_slice").isin(points) if points else F.lit(False)
-    return (
-        placed.withColumn("_slice", F.col("_place").cast("int"))
-        .withColumn("_sub", F.when(alone, F.substring(digest(tie), 1, 2)).otherwise(""))
-        .drop("_order", "_place")
-    )
 
+def add_slices(
+    df: DataFrame, order: str, tie: str, rows: int | None = None, slice_rows: int | None = None
+) -> tuple[DataFrame, int]:
+    """The rows with their slice, monotone in (order, md5(tie), tie), and the number of slices.
 
-def total_order(order: str, tie: str) -> list[Column]:
-    return [F.col(order), digest(tie), F.col(tie)]
+    Bounds are drawn once and the dealt rows written, so that all who read them agree.
+    """
+    slices = slice_count(df, df.count() if rows is None else rows, slice_rows)
+    if slices == 1:
+        return df.withColumn(SLICE, F.lit(0)), 1
+    dealt = df.repartitionByRange(slices, *total_order(order, tie))
+    return stored(dealt.withColumn(SLICE, F.spark_partition_id()), "slices"), slices
 
 
 def join_groups(rows: DataFrame, per_group: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -76,7 +64,7 @@ def running_totals(
     tie: str,
     measures: dict[str, Column],
     keys: Sequence[str] = (),
-    bounds: Sequence[int] | None = None,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """For every row add, per measure, the sum over all earlier rows (0 if none).
 
@@ -84,12 +72,11 @@ def running_totals(
     """
     keys = list(keys)
     names = list(measures)
-    sliced = add_slices(df, order, tie, bounds).withColumns(
-        {f"_m_{n}": c.cast("double") for n, c in measures.items()}
-    )
-    groups = keys + SLICE
+    dealt, _ = add_slices(df, order, tie, slice_rows=slice_rows)
+    sliced = dealt.withColumns({f"_m_{n}": c.cast("double") for n, c in measures.items()})
+    groups = [*keys, SLICE]
     per_slice = sliced.groupBy(groups).agg(*[F.sum(f"_m_{n}").alias(f"_s_{n}") for n in names])
-    # one row per key and slice: the window below sorts at most slices x 256 rows a key
+    # one row per key and slice
     before = Window.partitionBy(keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_slice.select(
         *groups,
@@ -109,18 +96,106 @@ def running_totals(
     )
 
 
+# ---- moments: n, mean and M2 (the sum of squared distances from the mean) ----
+
+
+def merged(n_a, mean_a, m2_a, n_b, mean_b, m2_b) -> tuple[Column, Column]:
+    """mean and M2 of two sets together. Nothing is squared but distances between means, so a
+    large offset cancels nowhere."""
+    share = F.try_divide(n_b, n_a + n_b)
+    delta = mean_b - mean_a
+    mean = F.when(n_a == 0, mean_b).when(n_b == 0, mean_a).otherwise(mean_a + delta * share)
+    m2 = F.when(n_a == 0, m2_b).when(n_b == 0, m2_a).otherwise(m2_a + m2_b + delta * delta * n_a * share)
+    return mean, m2
+
+
+def _earlier(per_slice: DataFrame, keys: list[str], names: Sequence[str], slices: int) -> DataFrame:
+    """Moments of all slices before each, per key: a prefix scan in which every round merges a
+    slice's moments with those that end where its own begin, and so doubles their reach."""
+    order = Window.partitionBy(keys).orderBy(SLICE)
+    columns = ["n", *[f"{part}_{f}" for f in names for part in ("mean", "m2")]]
+
+    def shifted(df: DataFrame, by: int) -> DataFrame:
+        back = [F.coalesce(F.lag(c, by).over(order), F.lit(0.0)).alias(f"_b_{c}") for c in columns]
+        return df.select(*keys, SLICE, *columns, *back)
+
+    found, reach = per_slice, 1
+    while reach < slices:
+        both = shifted(found, reach)
+        after = {}
+        for f in names:
+            sides = [F.col(c) for c in ("_b_n", f"_b_mean_{f}", f"_b_m2_{f}", "n", f"mean_{f}", f"m2_{f}")]
+            after[f"mean_{f}"], after[f"m2_{f}"] = merged(*sides)
+        found = both.select(
+            *keys, SLICE, (F.col("n") + F.col("_b_n")).alias("n"), *[c.alias(n) for n, c in after.items()]
+        )
+        reach *= 2
+    return shifted(found, 1).select(*keys, SLICE, *[F.col(f"_b_{c}") for c in columns])
+
+
+def running_moments(
+    df: DataFrame,
+    order: str,
+    tie: str,
+    names: Sequence[str],
+    keys: Sequence[str] = (),
+    slice_rows: int | None = None,
+) -> DataFrame:
+    """Add _n, _mean_<name> and _m2_<name> over all earlier rows (zeros if there are none), in
+    (order, md5(tie)) order and, with `keys`, per key."""
+    keys = list(keys)
+    whole = df.agg(F.count("*").alias("n"), *[F.avg(f).alias(f) for f in names]).first()  # one row
+    dealt, slices = add_slices(df, order, tie, whole["n"], slice_rows)
+    groups = [*keys, SLICE]
+    # averages are taken around the overall mean: a sum of large values would round
+    centre = {f: F.lit(float(whole[f] or 0.0)) for f in names}
+    value = {f: F.col(f).cast("double") - centre[f] for f in names}
+    within = (
+        Window.partitionBy(groups)
+        .orderBy(*total_order(order, tie))
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    inside = {"_n": F.count(F.lit(1)).over(within).cast("double")}
+    for f in names:
+        inside[f"_mean_{f}"] = F.coalesce(F.avg(value[f]).over(within), F.lit(0.0))
+        inside[f"_m2_{f}"] = F.coalesce(F.var_pop(value[f]).over(within), F.lit(0.0))
+    rows = dealt.select(*dealt.columns, *[c.alias(n) for n, c in inside.items()])
+    own = {f: (F.col("_n"), F.col(f"_mean_{f}") + centre[f], F.col(f"_m2_{f}") * F.col("_n")) for f in names}
+    if slices == 1:
+        found = {}
+        for f in names:
+            found[f"_mean_{f}"] = F.when(F.col("_n") > 0, own[f][1]).otherwise(0.0)
+            found[f"_m2_{f}"] = own[f][2]
+        return rows.withColumns(found).drop(SLICE)
+    per_slice = dealt.groupBy(groups).agg(
+        F.count("*").cast("double").alias("n"),
+        *[(F.avg(value[f]) + centre[f]).alias(f"mean_{f}") for f in names],
+        *[(F.var_pop(value[f]) * F.count("*")).alias(f"m2_{f}") for f in names],
+    )
+    joined = join_groups(rows, _earlier(per_slice, keys, names, slices), groups)
+    found = {"_n": F.col("_n") + F.col("_b_n")}
+    for f in names:
+        mean, m2 = merged(F.col("_b_n"), F.col(f"_b_mean_{f}"), F.col(f"_b_m2_{f}"), *own[f])
+        found[f"_mean_{f}"] = F.when(F.col("_n") + F.col("_b_n") > 0, mean).otherwise(0.0)
+        found[f"_m2_{f}"] = m2
+    return joined.select(*df.columns, *[c.alias(n) for n, c in found.items()])
+
+
+# ---- neighbours and ranks ----
+
+
 def previous_row(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
     tie: str,
     values: Sequence[str],
-    bounds: Sequence[int] | None = None,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Add prev_<value>: the value in the row before, per key; null in the first row."""
     keys = list(keys)
-    groups = keys + SLICE
-    sliced = add_slices(df, order, tie, bounds)
+    groups = [*keys, SLICE]
+    sliced, _ = add_slices(df, order, tie, slice_rows=slice_rows)
     packed = F.struct(*values)
     ranked = F.struct(F.col(order).alias("a"), digest(tie).alias("b"), F.col(tie).alias("c"))
     last = sliced.groupBy(groups).agg(F.max_by(packed, ranked).alias("_last"))
@@ -136,14 +211,16 @@ def previous_row(
 
 
 def hash_rank(
-    df: DataFrame, key: str, groups: Sequence[str] = (), name: str = "rank", digits: int = 3
+    df: DataFrame, key: str, groups: Sequence[str] = (), name: str = "rank", slice_rows: int | None = None
 ) -> DataFrame:
     """Exact 1-based rank in md5(key) order within each group.
 
-    A group of any size is spread over 16**digits hash ranges; a rank is the position
-    inside the range plus the rows in the ranges before it.
+    A group of any size is spread over hash ranges, as many as the table needs; a rank is the
+    position inside the range plus the rows in the ranges before it.
     """
     groups = list(groups)
+    ranges = slice_count(df, df.count(), slice_rows)
+    digits = max(math.ceil(math.log(ranges, 16) - 1e-9), 0)
     hashed = df.withColumn("_hash", digest(key)).withColumn(
         "_range", F.substring("_hash", 1, digits)
     )

@@ -385,26 +385,30 @@ FROM top WHERE c IS NOT NULL
 
 
 def _prior(source: str, based: bool, key: str = "") -> str:
-    """CTE `prior`: moments over all earlier rows, around the baseline mean."""
+    """CTE `prior`: moments over the baseline and all earlier rows, merged as two sets."""
     part = f"PARTITION BY {key} " if key else ""
     frame = f"OVER ({part}ORDER BY ts_us, md5(uid), uid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    shift = {f: f"m_{f}" if based else "0.0::double" for f in FEATURES}
-    n0 = "base.n" if based else "0"
-    sums = ", ".join(
-        f"coalesce(sum({f}::double - {shift[f]}) {frame}, 0.0) AS a_{f}, "
-        f"coalesce(sum(({f}::double - {shift[f]}) * ({f}::double - {shift[f]})) {frame}, 0.0) + {f'base.n * v_{f}' if based else '0.0'} AS b_{f}"
+    n0 = "n" if based else "0"
+    seen = ", ".join(
+        f"coalesce(avg({f}::double) {frame}, 0.0) AS a_{f}, coalesce(var_pop({f}::double) {frame}, 0.0) AS b_{f}"
         for f in FEATURES
     )
-    moments = ", ".join(
-        f"coalesce({shift[f]} + a_{f} / nullif(k, 0), 0.0) AS prior_mean_{f}, "
-        f"CASE WHEN k > 1 THEN sqrt(greatest(b_{f} / k - (a_{f} / k) * (a_{f} / k), 0.0)) ELSE 0.0 END AS prior_std_{f}"
-        for f in FEATURES
-    )
-    means = ", ".join(shift[f] for f in FEATURES) if based else ""
+
+    def moments(f: str) -> str:
+        m0, v0 = (f"m_{f}", f"v_{f}") if based else ("0.0::double", "0.0::double")
+        mean = f"CASE WHEN c = 0 THEN {m0} WHEN {n0} = 0 THEN a_{f} ELSE {m0} + (a_{f} - {m0}) * c / k END"
+        m2 = f"({n0} * {v0} + c * b_{f} + CASE WHEN k > 0 THEN (a_{f} - {m0}) * (a_{f} - {m0}) * {n0} * c / k ELSE 0.0 END)"
+        return (
+            f"{mean} AS prior_mean_{f}, "
+            f"CASE WHEN k > 1 THEN sqrt({m2} / k) ELSE 0.0 END AS prior_std_{f}"
+        )
+
+    base = (", n, " + ", ".join(f"m_{f}, v_{f}" for f in FEATURES)) if based else ""
     joined = f"{source}, base" if based else source
     return f"""
-, sums AS (SELECT {source}.*{', ' + means if means else ''}, (count(*) {frame} + {n0})::double AS k, {sums} FROM {joined})
-, prior AS (SELECT *, k AS prior_n, {moments} FROM sums)
+, seen AS (SELECT {source}.*{base}, (count(*) {frame})::double AS c, {seen} FROM {joined})
+, sums AS (SELECT *, c + {n0} AS k FROM seen)
+, prior AS (SELECT *, k AS prior_n, {', '.join(moments(f) for f in FEATURES)} FROM sums)
 """
 
 
@@ -929,30 +933,23 @@ SQL["str2_moments"] = over(
 )
 SQL["str3_cooldown"] = SQL["mt4_safety"]
 SQL["str4_expiry"] = over(
-    _LEDGER,
-    """
-SELECT rule_id, match_src AS host, expires_us FROM expiring
-WHERE rule = 'drop' AND expires_us // 1000 <= (SELECT max(installed_us) FROM ledger WHERE rule = 'drop') // 1000 - 60000
-""",
-    recursive=True,
+    _LEDGER, "SELECT rule_id, match_src AS host, expires_us FROM expiring WHERE rule = 'drop'", recursive=True
 )
 SQL["str5_sessions"] = over(
     CONNECTIONS,
-    f"""
-SELECT uid, duration, orig_pkts, resp_pkts, unique_fc_count, burst_count, {_MEAN}, {_STD}
-FROM connections WHERE (t_us + duration * 1000000 + 2000000)::bigint <= (SELECT max(t_us) FROM messages)
-""",
-)
-SQL["str6_ticks"] = over(
-    _TICKS,
-    "SELECT * FROM ticks WHERE (tick_us + 1000000) // 1000 <= (SELECT max(ts_us) FROM outcomes) // 1000 - 10000",
+    f"SELECT uid, duration, orig_pkts, resp_pkts, unique_fc_count, burst_count, {_MEAN}, {_STD} FROM connections",
 )
+SQL["str6_ticks"] = over(_TICKS, "SELECT * FROM ticks")
 SQL["str7_suppress"] = over(
-    MESSAGES,
+    CONNECTIONS + f", summed AS (SELECT *, least({_TOTAL}, 1.0) AS s FROM connections)",
     """
 SELECT DISTINCT printf('%s-fc-%d', uid, fc) AS identifier FROM messages WHERE fc IN (32, 33, 129, 130)
 UNION ALL
 SELECT DISTINCT uid || '-bcast' FROM messages WHERE resp_p = 20000 AND resp_h = '255.255.255.255' AND fc IN (2, 3)
+UNION ALL
+SELECT uid || '-flood' FROM connections WHERE duration > 0 AND (orig_pkts + resp_pkts) / duration > 100
+UNION ALL
+SELECT uid FROM summed WHERE s >= 0.60
 """,
 )
 

@@ -1,10 +1,12 @@
 """Sliced, blocked and pruned algorithms against plain loops on crowded small tables."""
 
+import hashlib
 import random
 import statistics
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowwarden.operators import connections as C
@@ -50,16 +52,65 @@ def crowded(spark):
     return spark.createDataFrame(rows, "id bigint, key string, t bigint, v int")
 
 
-def test_bounds_isolate_crowded_value(crowded):
-    bounds = slices.slice_bounds(crowded, "t", 16)
-    assert 500 in bounds and 501 in bounds
-    parts = slices.add_slices(crowded, "t", "id", bounds).groupBy(*slices.SLICE).count()
-    assert parts.agg(F.max("count")).first()[0] < 300
+def test_slices_cut_a_crowded_instant(crowded):
+    dealt, n = slices.add_slices(crowded, "t", "id", slice_rows=100)
+    sizes = dealt.groupBy(slices.SLICE).count()
+    assert n == 15 and sizes.count() > 10
+    assert sizes.agg(F.max("count")).first()[0] < 300  # a third of the rows share one instant
+    order = Window.orderBy("t", F.md5(F.col("id").cast("string")))
+    back = dealt.withColumn("b", F.lag(slices.SLICE).over(order)).where(F.col("b") > F.col(slices.SLICE))
+    assert back.isEmpty()
+
+
+def test_slices_follow_the_rows(spark):
+    df = spark.range(10)
+    assert slices.slice_count(df, 0) == slices.slice_count(df, 10_000) == 1
+    assert slices.slice_count(df, 25_000) == 3
+    assert slices.slice_count(df, 10**12) == -(-(10**12) // slices.SLICE_ROWS)
+
+
+def _moments(values):
+    return len(values), statistics.fmean(values) if values else 0.0, statistics.pstdev(values) if len(values) > 1 else 0.0
+
+
+@pytest.mark.parametrize("keys", [[], ["key"]])
+@pytest.mark.parametrize("slice_rows", [None, 100])
+def test_running_moments(spark, crowded, keys, slice_rows):
+    found = slices.running_moments(crowded, "t", "id", ["v"], keys, slice_rows).collect()
+    rows = sorted(crowded.collect(), key=lambda r: (r["t"], hashlib.md5(str(r["id"]).encode()).hexdigest()))
+    seen, want = {}, {}
+    for r in rows:
+        before = seen.setdefault(r["key"] if keys else "", [])
+        want[r["id"]] = _moments(before)
+        before.append(r["v"])
+    assert len(found) == len(rows)
+    for r in found:
+        n, mean, std = want[r["id"]]
+        assert r["_n"] == n and r["_mean_v"] == pytest.approx(mean, abs=1e-12)
+        assert (r["_m2_v"] / n if n else 0) ** 0.5 == pytest.approx(std, abs=1e-12)
+
+
+@pytest.mark.parametrize("instant", [False, True])
+def test_running_moments_far_from_zero(spark, instant):
+    """Deviation 2 around 10^12, also where one instant holds all rows and where early rows lie
+    far from the late ones."""
+    time = "5L" if instant else "id"
+    df = spark.range(20_000).selectExpr(f"{time} AS t", "id", "1000000000000D + if(id % 2 = 0, 2, -2) AS v")
+    for slice_rows in (None, 1500):
+        found = slices.running_moments(df, "t", "id", ["v"], slice_rows=slice_rows)
+        std = found.where("_n >= 5000").select(F.sqrt(F.col("_m2_v") / F.col("_n")).alias("s"))
+        low, high = std.agg(F.min("s"), F.max("s")).first()
+        assert low == pytest.approx(2.0, abs=1e-3) and high == pytest.approx(2.0, abs=1e-3)
+    near = spark.range(4000).selectExpr("id AS t", "id", "if(id % 2 = 0, 1D, -1D) AS v")
+    far = spark.range(4000).selectExpr("id + 4000 AS t", "id + 4000 AS id", "1000000000000D AS v")
+    found = slices.running_moments(near.union(far), "t", "id", ["v"], slice_rows=700)
+    early = found.where("_n BETWEEN 100 AND 4000 AND _n % 2 = 0").agg(F.max(F.abs(F.col("_m2_v") / F.col("_n") - 1)))
+    assert early.first()[0] < 1e-3
 
 
 @pytest.mark.parametrize("keys", [[], ["key"]])
 def test_running_totals(spark, crowded, keys):
-    found = slices.running_totals(crowded, "t", "id", {"total": F.col("v")}, keys)
+    found = slices.running_totals(crowded, "t", "id", {"total": F.col("v")}, keys, slice_rows=100)
     crowded.createOrReplaceTempView("crowded")
     part = "PARTITION BY key" if keys else ""
     want = spark.sql(
@@ -70,7 +121,7 @@ def test_running_totals(spark, crowded, keys):
 
 
 def test_previous_row(spark, crowded):
-    found = slices.previous_row(crowded, ["key"], "t", "id", ["id", "v"])
+    found = slices.previous_row(crowded, ["key"], "t", "id", ["id", "v"], slice_rows=100)
     crowded.createOrReplaceTempView("crowded")
     want = spark.sql(
         """SELECT id, lag(id) OVER (PARTITION BY key ORDER BY t, md5(cast(id AS string)), id) AS prev_id
@@ -79,9 +130,10 @@ def test_previous_row(spark, crowded):
     assert set(map(tuple, found.select("id", "prev_id").collect())) == set(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize("slice_rows", [None, 100, 3])
 @pytest.mark.parametrize("groups", [[], ["key"]])
-def test_hash_rank(spark, crowded, groups):
-    found = slices.hash_rank(crowded, "id", groups)
+def test_hash_rank(spark, crowded, groups, slice_rows):
+    found = slices.hash_rank(crowded, "id", groups, slice_rows=slice_rows)
     crowded.createOrReplaceTempView("crowded")
     part = "PARTITION BY key" if groups else ""
     want = spark.sql(
@@ -98,14 +150,21 @@ def test_connection_gaps_across_slices(spark):
         "*", "'x' AS orig_h", "'y' AS resp_h", "20000 AS resp_p", "cast(t_us % 5 AS int) AS fc",
         "true AS is_orig", "false AS is_error", "1L AS bytes",
     )
-    for bounds in ([], [1000, 1_500_000, 1_500_001, 2_000_000]):
-        for r in C.connections(frame, bounds).collect():
+    for slice_rows in (None, 40):
+        for r in C.connections(frame, slice_rows).collect():
             gaps = [b - a for a, b in zip(times[r["uid"]], times[r["uid"]][1:])]
             assert r["burst_count"] == sum(g < 100_000 for g in gaps)
             assert r["inter_arrival_mean"] == pytest.approx(statistics.mean(gaps) / 1e6 if gaps else 0)
             assert r["inter_arrival_std"] == pytest.approx(statistics.pstdev(gaps) / 1e6 if gaps else 0)
 
 
+def test_code_sets_hold_every_byte(spark):
+    codes = {"a": list(range(256)), "b": [0, 63, 64, 127, 128, 255], "c": []}
+    rows = [(u, c) for u, cs in codes.items() for c in [*cs, None]]
+    found = spark.createDataFrame(rows, "uid string, fc int").groupBy("uid").agg(C.code_set().alias("codes"))
+    assert {r[0]: r[1] for r in found.select("uid", C.codes_of(F.col("codes"))).collect()} == codes
+
+
 def test_nearest_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr("flowwarden.operators.neighbours.BLOCK", 40)
     rng = np.random.default_rng(11)
