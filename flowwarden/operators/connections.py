@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowwarden import schema as S
-from flowwarden.operators.slices import SLICE, add_slices
+from flowwarden.operators.slices import previous_row
 
 BURST_GAP_US = 100_000
 FLOOD_RATE = 100.0
@@ -20,89 +18,70 @@ def broadcast_target() -> Column:
     return (F.col("resp_p") == 20000) & (F.col("resp_h") == "255.255.255.255")
 
 
-def pieces(messages: DataFrame, bounds: Sequence[int] | None = None) -> DataFrame:
-    """One row per connection and time slice; a busy connection spans many slices."""
-    groups = ["uid", *SLICE]
-    within = Window.partitionBy(groups).orderBy("t_us")
-    return (
-        add_slices(messages, "t_us", "event_id", bounds)
-        .withColumn("gap", F.col("t_us") - F.lag("t_us").over(within))
-        .groupBy(groups)
-        .agg(
-            F.min("t_us").alias("first_us"),
-            F.max("t_us").alias("last_us"),
-            F.min("orig_h").alias("orig_h"),
-            F.min("resp_h").alias("resp_h"),
-            F.min("resp_p").alias("resp_p"),
-            F.count_if("is_orig").alias("orig_pkts"),
-            F.count_if(~F.col("is_orig")).alias("resp_pkts"),
-            F.sum(F.when(F.col("is_orig"), F.col("bytes")).otherwise(0)).alias("orig_bytes"),
-            F.sum(F.when(F.col("is_orig"), 0).otherwise(F.col("bytes"))).alias("resp_bytes"),
-            F.array_sort(F.collect_set("fc")).alias("function_codes"),  # one byte: at most 256
-            F.bool_or(broadcast_target()).alias("is_broadcast"),
-            F.count_if("is_error").alias("error_count"),
-            F.count("gap").alias("gaps"),
-            F.coalesce(F.avg("gap"), F.lit(0.0)).alias("gap_mean"),
-            F.coalesce(F.var_pop("gap"), F.lit(0.0)).alias("gap_var"),
-            F.count_if(F.col("gap") < BURST_GAP_US).alias("burst_count"),
-        )
-        .drop(*SLICE)
-    )
-
-
-def merge_pieces(parts: DataFrame) -> DataFrame:
-    """One piece per connection. Pieces of a connection must not overlap in time.
-
-    The gap between neighbouring pieces is added; deviations are merged around the
-    connection's own mean gap.
-    """
-    by_uid = Window.partitionBy("uid")
-    joint = F.col("first_us") - F.lag("last_us").over(by_uid.orderBy("first_us", "last_us"))
-    n = F.col("gaps") + F.when(F.col("joint").isNull(), 0).otherwise(1)
-    total = F.col("gaps") * F.col("gap_mean") + F.coalesce("joint", F.lit(0))
-    spread = F.col("gaps") * (
-        F.col("gap_var") + F.pow(F.col("gap_mean") - F.col("_mean"), 2)
-    ) + F.coalesce(F.pow(F.col("joint") - F.col("_mean"), 2), F.lit(0.0))
-    bursts = F.col("burst_count") + F.when(F.col("joint") < BURST_GAP_US, 1).otherwise(0)
-    linked = (
-        parts.withColumn("joint", joint)
-        .withColumns({"_n": F.sum(n).over(by_uid), "_t": F.sum(total).over(by_uid)})
-        .withColumn("_mean", F.coalesce(F.try_divide("_t", "_n"), F.lit(0.0)))
-    )
-    codes = F.array_sort(F.array_distinct(F.flatten(F.collect_list("function_codes"))))
-    added = ["orig_pkts", "resp_pkts", "orig_bytes", "resp_bytes", "error_count"]
-    return linked.groupBy("uid").agg(
-        F.min("first_us").alias("first_us"),
-        F.max("last_us").alias("last_us"),
-        *[F.min(c).alias(c) for c in ("orig_h", "resp_h", "resp_p")],
-        *[F.sum(c).alias(c) for c in added],
-        codes.alias("function_codes"),
-        F.bool_or("is_broadcast").alias("is_broadcast"),
-        F.first("_n").alias("gaps"),
-        F.first("_mean").alias("gap_mean"),
-        F.coalesce(F.try_divide(F.sum(spread), F.first("_n")), F.lit(0.0)).alias("gap_var"),
-        F.sum(bursts).alias("burst_count"),
-    )
-
-
-def summarise(merged: DataFrame) -> DataFrame:
-    """Connection records from merged pieces."""
-    return merged.select(
-        "uid",
+def code_set() -> Column:
+    """The set of one-byte function codes as a bitmap of four longs, so that rows, tasks and
+    connections of any size combine into 32 bytes."""
+    code = F.col("fc").cast("int")
+    bit = F.expr("shiftleft(1L, fc % 64)")
+    return F.array(*[F.coalesce(F.bit_or(F.when(F.floor(code / 64) == i, bit)), F.lit(0)) for i in range(4)])
+
+
+def codes_of(bitmap: Column) -> Column:
+    """The codes of a bitmap, ascending."""
+    every = F.sequence(F.lit(0), F.lit(255))
+    word = lambda c: F.get(bitmap, F.floor(c / 64).cast("int"))
+    return F.filter(every, lambda c: F.call_function("getbit", word(c), c % 64) == 1)
+
+
+def _totals() -> list[Column]:
+    """What needs no order: one aggregate per connection, combined before the shuffle."""
+    sent = F.col("is_orig")
+    return [
+        F.min("t_us").alias("first_us"),
+        F.max("t_us").alias("last_us"),
+        F.min("orig_h").alias("orig_h"),
+        F.min("resp_h").alias("resp_h"),
+        F.min("resp_p").alias("resp_p"),
+        F.count_if(sent).alias("orig_pkts"),
+        F.count_if(~sent).alias("resp_pkts"),
+        F.sum(F.when(sent, F.col("bytes")).otherwise(0)).alias("orig_bytes"),
+        F.sum(F.when(sent, 0).otherwise(F.col("bytes"))).alias("resp_bytes"),
+        code_set().alias("codes"),
+        F.bool_or(broadcast_target()).alias("is_broadcast"),
+        F.count_if("is_error").alias("error_count"),
+    ]
+
+
+def _gaps() -> list[Column]:
+    """Inter-arrival times; needs `gap`, the time since the connection's message before."""
+    return [
+        F.coalesce(F.avg("gap"), F.lit(0.0)).alias("gap_mean"),
+        F.coalesce(F.var_pop("gap"), F.lit(0.0)).alias("gap_var"),
+        F.count_if(F.col("gap") < BURST_GAP_US).alias("burst_count"),
+    ]
+
+
+def _counted() -> list[Column]:
+    codes = codes_of(F.col("codes"))
+    return [
+        F.col("uid"),
         F.col("first_us").alias("t_us"),
-        "orig_h",
-        "resp_h",
-        "resp_p",
+        *[F.col(c) for c in ("orig_h", "resp_h", "resp_p")],
         ((F.col("last_us") - F.col("first_us")) / 1e6).alias("duration"),
-        "orig_pkts",
-        "resp_pkts",
-        "orig_bytes",
-        "resp_bytes",
-        "function_codes",
-        F.size("function_codes").cast("bigint").alias("unique_fc_count"),
+        *[F.col(c) for c in ("orig_pkts", "resp_pkts", "orig_bytes", "resp_bytes")],
+        codes.cast("array<int>").alias("function_codes"),
+        F.size(codes).cast("bigint").alias("unique_fc_count"),
         F.col("orig_pkts").alias("request_count"),
         F.col("resp_pkts").alias("response_count"),
-        "is_broadcast",
+        F.col("is_broadcast"),
+    ]
+
+
+def summarise(merged: DataFrame, *more: str) -> DataFrame:
+    """Connection records from totals and gaps."""
+    return merged.select(
+        *_counted(),
+        *more,
         (F.col("gap_mean") / 1e6).alias("inter_arrival_mean"),
         (F.sqrt("gap_var") / 1e6).alias("inter_arrival_std"),
         "burst_count",
@@ -110,17 +89,25 @@ def summarise(merged: DataFrame) -> DataFrame:
     )
 
 
-def connections(messages: DataFrame, bounds: Sequence[int] | None = None) -> DataFrame:
+def connection_totals(messages: DataFrame) -> DataFrame:
+    """Connection records without inter-arrival times: one aggregate, no order, no slices."""
+    merged = messages.groupBy("uid").agg(*_totals())
+    return merged.select(*_counted(), "error_count")
+
+
+def connections(messages: DataFrame, slice_rows: int | None = None) -> DataFrame:
     """Summarise the messages of each connection (`uid`).
 
-    Gaps are taken inside time slices and across their borders, so the messages of one
-    connection are never sorted in a single task.
+    The time of the message before comes from slices, so the messages of one connection are
+    never sorted in a single task; all else is one aggregate.
     """
-    return summarise(merge_pieces(pieces(messages, bounds)))
+    seen = previous_row(messages, ["uid"], "t_us", "event_id", ["t_us"], slice_rows)
+    timed = seen.withColumn("gap", F.col("t_us") - F.col("prev_t_us"))
+    return summarise(timed.groupBy("uid").agg(*_totals(), *_gaps()))
 
 
 def code_histogram(messages: DataFrame) -> DataFrame:
-    """How often each function code occurs per connection, as a map."""
+    """How often each function code occurs per connection, as a map of at most 256 entries."""
     counts = messages.groupBy("uid", "fc").agg(F.count("*").alias("n"))
     return counts.groupBy("uid").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("fc", "n")))).alias("codes")

@@ -51,30 +51,40 @@ def is_safe(
     return ~(F.col("action").isin(*DROPPING) & protected)
 
 
-def decide(
+def prepared(
     alerts: DataFrame,
-    cooldown_seconds: float = COOLDOWN_SECONDS,
     critical_hosts: Sequence[str] = CRITICAL_HOSTS,
     protected_ports: Sequence[int] = (),
-    start: DataFrame | None = None,
 ) -> DataFrame:
-    """Alerts with action, success and notes.
-
-    Only a safe action outside the host's cooldown succeeds, and only those start a
-    new cooldown.
-    """
+    """Alerts with their action and whether it is safe."""
     ready = alerts if "action" in alerts.columns else with_action(alerts)
-    ready = ready.withColumn("safe", is_safe(critical_hosts, protected_ports))
-    judged = cooldown_status(ready, int(cooldown_seconds * 1_000_000), start)
+    return ready.withColumn("safe", is_safe(critical_hosts, protected_ports))
+
+
+def verdicts(judged: DataFrame) -> DataFrame:
+    """success and notes in place of the status taken, cooldown or unsafe."""
     notes = (
         F.when(F.col("status") == "unsafe", "safety_constraint")
         .when(F.col("status") == "cooldown", "cooldown")
         .when(F.col("action") == "MONITOR", "log_only")
         .otherwise("")
     )
-    return judged.withColumns({"success": F.col("status") == "taken", "notes": notes}).drop(
-        "status", "safe"
-    )
+    return judged.withColumns({"success": F.col("status") == "taken", "notes": notes}).drop("status")
+
+
+def decide(
+    alerts: DataFrame,
+    cooldown_seconds: float = COOLDOWN_SECONDS,
+    critical_hosts: Sequence[str] = CRITICAL_HOSTS,
+    protected_ports: Sequence[int] = (),
+) -> DataFrame:
+    """Alerts with action, success and notes.
+
+    Only a safe action outside the host's cooldown succeeds, and only those start a
+    new cooldown.
+    """
+    ready = prepared(alerts, critical_hosts, protected_ports)
+    return verdicts(cooldown_status(ready, int(cooldown_seconds * 1_000_000))).drop("safe")
 
 
 def _policy(position: int) -> Column:

@@ -253,13 +253,13 @@ def agg1_connections(spark, sf):
 
 @query
 def agg2_req_resp(spark, sf):
-    return C.connections(X.messages(spark, sf)).select("uid", "request_count", "response_count")
+    return C.connection_totals(X.messages(spark, sf)).select("uid", "request_count", "response_count")
 
 
 @query
 def agg3_fc_sets(spark, sf):
     m = X.messages(spark, sf)
-    sets = C.connections(m).select("uid", "function_codes", "unique_fc_count")
+    sets = C.connection_totals(m).select("uid", "function_codes", "unique_fc_count")
     pairs = F.transform(F.map_entries("codes"), lambda e: F.concat_ws(":", e["key"], e["value"]))
     counts = C.code_histogram(m).select("uid", F.array_join(pairs, ",").alias("histogram"))
     return sets.join(counts, "uid").withColumn(
@@ -280,18 +280,18 @@ def agg5_bursts(spark, sf):
 
 @query
 def agg6_errors(spark, sf):
-    return C.connections(X.messages(spark, sf)).select("uid", "error_count")
+    return C.connection_totals(X.messages(spark, sf)).select("uid", "error_count")
 
 
 @query
 def agg7_broadcast(spark, sf):
-    return C.connections(X.messages(spark, sf)).select("uid", "is_broadcast")
+    return C.connection_totals(X.messages(spark, sf)).select("uid", "is_broadcast")
 
 
 @query
 def agg8_volume(spark, sf):
     names = ["uid", "duration", "orig_pkts", "resp_pkts", "orig_bytes", "resp_bytes"]
-    return C.connections(X.messages(spark, sf)).select(names)
+    return C.connection_totals(X.messages(spark, sf)).select(names)
 
 
 @query
@@ -975,27 +975,40 @@ def sn2_stages(spark, sf):
 
 # ---- streaming: every query drains its source and returns what was written ----
 
+PARTS, DISORDER_US = 4, 30_000_000
+
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     schema = X.table(spark, sf, name).schema
     return spark.readStream.schema(schema).parquet(f"{sf}/{name}*.parquet")
 
 
-def _feed(table: DataFrame, name: str) -> DataFrame:
-    """A stored table as a stream."""
-    path = scratch_path(table.sparkSession, name)
-    table.write.parquet(path)
-    return table.sparkSession.readStream.schema(table.schema).parquet(path)
-
-
-def _busy_stream(spark: SparkSession, sf: str) -> DataFrame:
-    found = X.project_flows(_stream(spark, sf, "lineitem"))
-    return found.withColumn("ts_us", F.expr("ts_us div 100000"))
+def _drained(table: DataFrame, column: str, job: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """A table as a stream in four micro-batches of interleaved times, each a restart from the
+    checkpoint, and then the end of the input: what the job wrote. A row arrives up to half a
+    minute after its time."""
+    spark = table.sparkSession
+    arrives = F.col(column) + F.pmod(F.xxhash64(*table.columns), F.lit(DISORDER_US))
+    rows = stored(table.withColumn("_arrives", arrives), name)
+    low, high = rows.agg(F.min("_arrives"), F.max("_arrives")).first()
+    part = F.floor((F.col("_arrives") - low) * PARTS / (high - low + 1))
+    source = scratch_path(spark, name)
+    table.limit(0).write.parquet(source)
+    out, checkpoint, markers = jobs.fresh_paths(spark, name)
+    stream = spark.readStream.schema(table.schema).parquet(source)
+    with jobs.timer_state_store(spark):
+        found = job(jobs.ended(stream, column, markers))
+        for i in range(PARTS):
+            rows.where(part == i).drop("_arrives").write.mode("append").parquet(source)
+            jobs.run_to_files(found, out, checkpoint)
+        jobs.finish(spark, column, markers)
+        jobs.run_to_files(found, out, checkpoint)
+    return spark.read.schema(found.schema).parquet(out)
 
 
 @query
 def str1_detect(spark, sf):
-    out, _, checkpoint = jobs.fresh_paths(spark, "detect")
+    out, checkpoint, _ = jobs.fresh_paths(spark, "detect")
     found = jobs.detect(X.project_flows(_stream(spark, sf, "lineitem")), baseline(spark, sf))
     names = ["uid", "attack_type", "severity", "detector", "score"]
     jobs.run_to_files(found.select(names), out, checkpoint)
@@ -1004,52 +1017,44 @@ def str1_detect(spark, sf):
 
 @query
 def str2_moments(spark, sf):
-    out, state, checkpoint = jobs.fresh_paths(spark, "moments")
-    jobs.host_scores(_busy_stream(spark, sf), out, state, checkpoint, baseline(spark, sf))
-    return rounded(spark.read.parquet(out).select("uid", "src_ip", "prior_n", "z_score"), 6, "z_score")
+    fixed = baseline(spark, sf)
+    found = _drained(X.busy_flows(spark, sf), "ts_us", lambda s: jobs.host_scores(s, fixed), "moments")
+    return rounded(found, 6, "z_score")
 
 
 @query
 def str3_cooldown(spark, sf):
-    out, state, checkpoint = jobs.fresh_paths(spark, "cooldown")
-    keep = ["uid", "ts_us", "src_ip", "dst_ip", "attack_type", "severity", "confidence", "score"]
-    found = D.rule_alerts(fn.enrich(_busy_stream(spark, sf))).select(keep)
-    jobs.cooldown_decisions(found, out, state, checkpoint)
-    return spark.read.parquet(out).select("uid", "src_ip", "ts_us", "action", "success", "notes")
+    alert_rows = busy_alerts(spark, sf)
+    found = _drained(alert_rows, "ts_us", jobs.cooldown_decisions, "cooldown")
+    return found.select("uid", "src_ip", "ts_us", "action", "success", "notes")
 
 
 @query
 def str4_expiry(spark, sf):
-    out, _, checkpoint = jobs.fresh_paths(spark, "expiry")
     rules = ledger(spark, sf).select("rule_id", "uid", "match_src", "rule", "installed_us")
-    with jobs.timer_state_store(spark):
-        jobs.run_to_files(jobs.expired_rules(_feed(rules, "rules")), out, checkpoint)
-    return spark.read.schema("rule_id string, host string, expires_us bigint").parquet(out)
+    return _drained(rules, "installed_us", jobs.expired_rules, "expiry")
 
 
 @query
 def str5_sessions(spark, sf):
-    out, state, checkpoint = jobs.fresh_paths(spark, "sessions")
-    jobs.closed_connections(X.project_messages(_stream(spark, sf, "events")), out, state, checkpoint)
+    found = _drained(X.messages(spark, sf), "t_us", lambda s: jobs.closed_connections(s, delay="1 minute"), "sessions")
     names = ["uid", "duration", "orig_pkts", "resp_pkts", "unique_fc_count", "burst_count",
              "inter_arrival_mean", "inter_arrival_std"]
-    return rounded(spark.read.parquet(out).select(names), 6, "inter_arrival_mean", "inter_arrival_std")
+    return rounded(found.select(names), 6, "inter_arrival_mean", "inter_arrival_std")
 
 
 @query
 def str6_ticks(spark, sf):
-    out, _, checkpoint = jobs.fresh_paths(spark, "ticks")
-    judged = D.best_match(fn.enrich(_busy_stream(spark, sf))).withColumn("fired", F.col("rule_score") > 0)
-    jobs.run_to_files(jobs.ticks(judged), out, checkpoint)
-    return spark.read.parquet(out)
+    def job(feed: DataFrame) -> DataFrame:
+        judged = D.best_match(fn.enrich(feed)).withColumn("fired", F.col("rule_score") > 0)
+        return jobs.ticks(judged, "1 minute")
+
+    return _drained(X.busy_flows(spark, sf), "ts_us", job, "ticks")
 
 
 @query
 def str7_suppress(spark, sf):
-    out, _, checkpoint = jobs.fresh_paths(spark, "suppress")
-    found = jobs.suppressed_notices(X.project_messages(_stream(spark, sf, "events")))
-    jobs.run_to_files(found.select("identifier"), out, checkpoint)
-    return spark.read.parquet(out)
+    return _drained(X.messages(spark, sf), "t_us", jobs.suppressed_notices, "suppress").select("identifier")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
