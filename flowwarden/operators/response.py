@@ -64,12 +64,13 @@ def prepared(
 def verdicts(judged: DataFrame) -> DataFrame:
     """success and notes in place of the status taken, cooldown or unsafe."""
     notes = (
-        F.when(F.col("status") == "unsafe", "safety_constraint")
+        F.when(F.col("status").isNull(), "no_time")
+        .when(F.col("status") == "unsafe", "safety_constraint")
         .when(F.col("status") == "cooldown", "cooldown")
         .when(F.col("action") == "MONITOR", "log_only")
         .otherwise("")
     )
-    return judged.withColumns({"success": F.col("status") == "taken", "notes": notes}).drop("status")
+    return judged.withColumns({"success": F.coalesce(F.col("status") == "taken", F.lit(False)), "notes": notes}).drop("status")
 
 
 def decide(
@@ -135,52 +136,61 @@ def with_expiry(
     )
 
 
-def active_rules(ledger: DataFrame) -> DataFrame:
-    """The newest rule of every host that has not expired."""
-    newest = F.max_by(
-        F.struct("rule_id", "rule", "priority", "installed_us"), F.struct("installed_us", "uid")
-    )
-    return (
-        ledger.where(~F.col("expired"))
-        .groupBy(F.col("match_src").alias("host"))
-        .agg(newest.alias("r"))
-        .select("host", "r.*")
-    )
-
-
-def host_timeline(ledger: DataFrame, revocations: DataFrame) -> DataFrame:
-    """Installs and revocations of each host in one table, order key included."""
-    installs = ledger.select(
+def ledger_events(
+    ledger: DataFrame, revocations: DataFrame, isolation_seconds: int = ISOLATION_SECONDS
+) -> DataFrame:
+    """Installs and revocations of each host as one list. `at` orders it: installs come before
+    revocations of the same instant. An install bears the time at which its rule expires."""
+    rules = with_expiry(ledger, 0, isolation_seconds)
+    installs = rules.select(
         F.col("match_src").alias("host"),
         F.col("installed_us").alias("t_us"),
         F.concat(F.lit("0"), "uid").alias("event"),
         F.lit("install").alias("kind"),
         "rule_id",
         "rule",
+        "priority",
+        "expires_us",
     )
-    removals = revocations.select(
-        "host",
-        "t_us",
-        F.concat(F.lit("1"), "uid").alias("event"),
-        F.lit("revoke").alias("kind"),
-        F.lit(None).cast("string").alias("rule_id"),
-        F.lit(None).cast("string").alias("rule"),
+    removals = revocations.select("host", "t_us", F.concat(F.lit("1"), "uid").alias("event"), F.lit("revoke").alias("kind"))
+    both = installs.unionByName(removals, allowMissingColumns=True)
+    return both.withColumn("at", F.col("t_us") * 2 + (F.col("kind") == "revoke").cast("int"))
+
+
+def _lasting(time: Column, kind: str, expires: str) -> Column:
+    """Is a host's entry, made by its last event, still there at a time?"""
+    there = (F.col(kind) == "install") & (F.col(expires).isNull() | (time <= F.col(expires)))
+    return F.coalesce(there, F.lit(False))
+
+
+def active_rules(
+    ledger: DataFrame,
+    revocations: DataFrame,
+    as_of_us: int,
+    isolation_seconds: int = ISOLATION_SECONDS,
+) -> DataFrame:
+    """The rule in force on every host at `as_of_us`: its newest, unless that has expired or was
+    revoked since. An older rule does not come back."""
+    events = ledger_events(ledger, revocations, isolation_seconds).where(F.col("t_us") <= as_of_us)
+    newest = F.max_by(
+        F.struct("kind", "rule_id", "rule", "priority", F.col("t_us").alias("installed_us"), "expires_us"),
+        F.struct("at", F.md5("event"), "event"),
     )
-    return installs.unionByName(removals)
+    last = events.groupBy("host").agg(newest.alias("r")).select("host", "r.*")
+    return last.where(_lasting(F.lit(as_of_us), "kind", "expires_us")).drop("kind", "expires_us")
 
 
-def revoke(ledger: DataFrame, revocations: DataFrame) -> DataFrame:
+def revoke(
+    ledger: DataFrame, revocations: DataFrame, isolation_seconds: int = ISOLATION_SECONDS
+) -> DataFrame:
     """Outcome of each revocation: it removes the host's newest rule.
 
-    It fails when nothing was installed, or nothing since the last revocation: that is,
-    unless the event just before it on this host is an install. Installs come before
-    revocations of the same instant.
+    The host's last event before it decides: it must be an install whose rule has not expired
+    by then. Nothing installed, or nothing since the last revocation, gives false.
     """
-    events = host_timeline(ledger, revocations).withColumn(
-        "at", F.col("t_us") * 2 + (F.col("kind") == "revoke").cast("int")
-    )
-    seen = previous_row(events, ["host"], "at", "event", ["kind", "rule_id"])
-    done = F.coalesce(F.col("prev_kind") == "install", F.lit(False))
+    events = ledger_events(ledger, revocations, isolation_seconds)
+    seen = previous_row(events, ["host"], "at", "event", ["kind", "rule_id", "expires_us"])
+    done = _lasting(F.col("t_us"), "prev_kind", "prev_expires_us")
     return seen.where("kind = 'revoke'").select(
         "host",
         "t_us",

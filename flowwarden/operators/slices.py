@@ -37,20 +37,27 @@ def slice_count(df: DataFrame, rows: int, slice_rows: int | None = None) -> int:
     return max(-(-rows // SLICE_ROWS), min(cores, -(-rows // LEAST_ROWS)), 1)
 
 
-def add_slices(
-    df: DataFrame, order: str, tie: str, rows: int | None = None, slice_rows: int | None = None
+def deal(
+    df: DataFrame, order: Sequence[str | Column], rows: int | None = None, slice_rows: int | None = None
 ) -> tuple[DataFrame, int]:
-    """The rows with their slice, monotone in (order, md5(tie), tie), and the number of slices.
+    """The rows with their slice, monotone in the given order, and the number of slices.
 
     Bounds are drawn once and the dealt rows written, so that all who read them agree.
     """
     slices = slice_count(df, df.count() if rows is None else rows, slice_rows)
     if slices == 1:
         return df.withColumn(SLICE, F.lit(0)), 1
-    dealt = df.repartitionByRange(slices, *total_order(order, tie))
+    dealt = df.repartitionByRange(slices, *order)
     return stored(dealt.withColumn(SLICE, F.spark_partition_id()), "slices"), slices
 
 
+def add_slices(
+    df: DataFrame, order: str, tie: str, rows: int | None = None, slice_rows: int | None = None
+) -> tuple[DataFrame, int]:
+    """Slices of the order (order, md5(tie), tie)."""
+    return deal(df, total_order(order, tie), rows, slice_rows)
+
+
 def join_groups(rows: DataFrame, per_group: DataFrame, groups: Sequence[str]) -> DataFrame:
     """Join one row per group back to its rows; a null in the keys is a group like others."""
     marked = per_group.withColumnsRenamed({g: f"_g_{g}" for g in groups})

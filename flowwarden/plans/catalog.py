@@ -738,7 +738,7 @@ def mt5_expiry(spark, sf):
 @query
 def mt6_active(spark, sf):
     rules = ledger(spark, sf)
-    return R.active_rules(R.with_expiry(rules, R.latest_time(rules, "installed_us")))
+    return R.active_rules(rules, revocations(spark, sf), R.latest_time(rules, "installed_us"))
 
 
 @query

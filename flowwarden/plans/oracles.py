@@ -610,11 +610,12 @@ _REVOKED = (
     + """
 , clears AS (SELECT src_ip AS host, ts_us AS t_us, uid FROM best WHERE rule_score = 0 AND function_code = 40)
 , events_ AS (
-SELECT match_src AS host, installed_us AS t_us, 0 AS kind, '0' || uid AS event, uid, rule_id FROM ledger
-UNION ALL SELECT host, t_us, 1, '1' || uid, uid, NULL FROM clears)
-, chained AS (SELECT *, lag(kind) OVER w AS prev_kind, lag(rule_id) OVER w AS prev_rule FROM events_
+SELECT match_src AS host, installed_us AS t_us, 0 AS kind, '0' || uid AS event, uid, rule_id, rule, priority, expires_us FROM expiring
+UNION ALL SELECT host, t_us, 1, '1' || uid, uid, NULL, NULL, NULL, NULL FROM clears)
+, chained AS (SELECT *, lag(kind) OVER w AS prev_kind, lag(rule_id) OVER w AS prev_rule, lag(expires_us) OVER w AS prev_end FROM events_
   WINDOW w AS (PARTITION BY host ORDER BY t_us, kind, md5(event)))
-, revoked AS (SELECT host, t_us, uid, coalesce(prev_kind = 0, false) AS revoked, CASE WHEN prev_kind = 0 THEN prev_rule END AS rule_id FROM chained WHERE kind = 1)
+, tried AS (SELECT *, coalesce(prev_kind = 0 AND (prev_end IS NULL OR t_us <= prev_end), false) AS done FROM chained WHERE kind = 1)
+, revoked AS (SELECT host, t_us, uid, done AS revoked, CASE WHEN done THEN prev_rule END AS rule_id FROM tried)
 , resets AS (SELECT host, max(t_us) AS reset_us FROM revoked WHERE revoked GROUP BY host)
 , live AS (SELECT match_src AS host, installed_us AS t_us, uid, rule, coalesce(installed_us > reset_us, true) AS live FROM ledger LEFT JOIN resets ON host = match_src)
 , qos AS (SELECT host, 5.0::double + coalesce(sum(CASE rule WHEN 'rate_limit' THEN 2.0::double WHEN 'reroute' THEN 5.0 ELSE 0.0 END) FILTER (live), 0.0) AS latency_ms,
@@ -633,11 +634,12 @@ SQL["mt4_safety"] = over(
 )
 SQL["mt5_expiry"] = over(_LEDGER, "SELECT rule_id, uid, rule, expires_us, expired FROM aged", recursive=True)
 SQL["mt6_active"] = over(
-    _LEDGER,
+    _REVOKED,
     """
-SELECT host, rule_id, rule, priority, installed_us FROM (
-SELECT match_src AS host, *, row_number() OVER (PARTITION BY match_src ORDER BY installed_us DESC, uid DESC) AS newest FROM aged WHERE NOT expired)
-WHERE newest = 1
+, clock AS (SELECT max(installed_us) AS now FROM ledger)
+, newest AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY t_us DESC, kind DESC, md5(event) DESC) AS place FROM events_, clock WHERE t_us <= now)
+SELECT host, rule_id, rule, priority, t_us AS installed_us FROM newest
+WHERE place = 1 AND kind = 0 AND (expires_us IS NULL OR now <= expires_us)
 """,
     recursive=True,
 )

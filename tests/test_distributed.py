@@ -10,14 +10,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowwarden.operators import connections as C
+from flowwarden.operators import response as R
 from flowwarden.operators import slices
 from flowwarden.operators.cooldown import NEVER, cooldown_status
 from flowwarden.operators.neighbours import nearest
 
 
-def walk(rows, cooldown, start):
-    found, opens = {}, dict(start)
-    for host, t, uid, safe in sorted(rows):
+def walk(rows, cooldown):
+    found, opens = {}, {}
+    for host, t, uid, safe in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
         if t < opens.get(host, NEVER):
             found[uid] = "cooldown"
         elif safe:
@@ -27,20 +28,68 @@ def walk(rows, cooldown, start):
     return found
 
 
-@pytest.mark.parametrize("width,fan,crowded", [(2, 3, 4096), (2, 3, 0), (4, 2, 3)])
-@pytest.mark.parametrize("carried", [False, True])
-def test_cooldown_equals_walk(spark, width, fan, crowded, carried):
+ALERT = "src_ip string, ts_us bigint, uid string, safe boolean"
+
+
+@pytest.mark.parametrize("cooldown", [1, 7, 90])
+@pytest.mark.parametrize("slice_instants,table_rows", [(1 << 18, 1 << 21), (40, 1 << 21), (25, 30), (6, 1)])
+def test_cooldown_equals_walk(spark, cooldown, slice_instants, table_rows):
     rng = random.Random(7)
     rows = [
         (f"h{min(rng.randint(0, 5), 3)}", rng.randint(-50, 400), f"u{i:04d}", rng.random() < 0.7)
         for i in range(600)
     ]
     rows += [("even", 2 * i, f"p{i:04d}", True) for i in range(200)]
-    start = {"h0": -47, "even": 5} if carried else {}
-    frame = spark.createDataFrame(rows, "src_ip string, ts_us bigint, uid string, safe boolean")
-    given = spark.createDataFrame(list(start.items()), "host string, start bigint") if carried else None
-    found = cooldown_status(frame, 7, given, width, fan, crowded).collect()
-    assert {r["uid"]: r["status"] for r in found} == walk(rows, 7, start)
+    rows += [("rare", 1000 * i, f"r{i:04d}", i % 4 > 0) for i in range(60)]
+    rows += [(None, rng.randint(0, 60), f"n{i:04d}", True) for i in range(50)]
+    frame = spark.createDataFrame(rows, ALERT)
+    found = cooldown_status(frame, cooldown, slice_instants, table_rows).collect()
+    assert len(found) == len(rows)
+    assert {r["uid"]: r["status"] for r in found} == walk(rows, cooldown)
+
+
+def test_cooldown_of_alerts_without_time_or_rows(spark):
+    frame = spark.createDataFrame([("h", None, "a", True), ("h", 5, "b", True)], ALERT)
+    assert {r["uid"]: r["status"] for r in cooldown_status(frame, 7).collect()} == {"a": None, "b": "taken"}
+    assert cooldown_status(frame.limit(0), 7).count() == 0
+
+
+def test_cooldown_of_one_busy_host(spark):
+    """Hundreds of thousands of alerts of one host in 300 s: many tasks, the walk's result."""
+    n, span = 300_000, 300_000_000
+    frame = spark.range(n).selectExpr(
+        "'h' AS src_ip", f"pmod(xxhash64(id), {span}) AS ts_us", "lpad(id, 8, '0') AS uid", "id % 3 > 0 AS safe"
+    )
+    found = cooldown_status(frame, 5_000_000, 20_000).where("status = 'taken'").select("src_ip", "ts_us", "uid", "safe")
+    rows = [tuple(r) for r in frame.where("safe").collect()]
+    want = {u for u, s in walk(rows, 5_000_000).items() if s == "taken"}
+    assert {r["uid"] for r in found.collect()} == want and 50 <= len(want) <= 60
+
+
+def test_ledger_events_in_order(spark):
+    second = 1_000_000
+    ledger = spark.createDataFrame(
+        [("iso-1", "a", "drop", 9000, 0, "u1"), ("rl-2", "b", "rate_limit", 5000, 0, "u2"), ("iso-3", "c", "drop", 9000, 0, "u3"),
+         ("rl-0", "c", "rate_limit", 5000, -50 * second, "u0"), ("seg-4", "d", "reroute", 2000, 10 * second, "u4")],
+        "rule_id string, match_src string, rule string, priority int, installed_us bigint, uid string",
+    )
+    clears = spark.createDataFrame(
+        [("a", 400 * second, "x1"), ("a", 450 * second, "x2"), ("b", 400 * second, "x3"), ("b", 401 * second, "x4"),
+         ("c", 300 * second, "x5"), ("d", 10 * second, "x6"), ("e", second, "x7")],
+        "host string, t_us bigint, uid string",
+    )
+    done = {r["uid"]: (r["revoked"], r["rule_id"]) for r in R.revoke(ledger, clears).collect()}
+    assert done == {
+        "x1": (False, None), "x2": (False, None),  # 100 s after the expiry
+        "x3": (True, "rl-2"), "x4": (False, None),  # never expires, but goes once
+        "x5": (True, "iso-3"), "x6": (True, "seg-4"), "x7": (False, None),
+    }
+    active = lambda t: {r["host"]: r["rule_id"] for r in R.active_rules(ledger, clears, t * second).collect()}
+    assert active(5) == {"a": "iso-1", "b": "rl-2", "c": "iso-3"}
+    assert active(10) == {"a": "iso-1", "b": "rl-2", "c": "iso-3"}  # d is revoked at once
+    assert active(299) == {"a": "iso-1", "b": "rl-2", "c": "iso-3"}
+    assert active(301) == {"b": "rl-2"}  # c: neither the revoked rule nor the older one
+    assert active(500) == {}
 
 
 @pytest.fixture(scope="module")
