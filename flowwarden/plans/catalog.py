@@ -893,7 +893,7 @@ def probes(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def ga5_nn_labels(spark, sf):
     refs = training(spark, sf).withColumnsRenamed({"id": "ref_id", "label": "ref_label"})
-    return rounded(nearest(probes(spark, sf), refs, S.FEATURES), 3, "d2")
+    return rounded(nearest(probes(spark, sf), refs, S.FEATURES).drop("compared"), 3, "d2")
 
 
 @query

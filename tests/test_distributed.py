@@ -214,7 +214,8 @@ def test_code_sets_hold_every_byte(spark):
     assert {r[0]: r[1] for r in found.select("uid", C.codes_of(F.col("codes"))).collect()} == codes
 
 
-def test_nearest_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("leaf", [1, 10, 1024])
+def test_nearest_equals_brute_force(spark, monkeypatch, leaf):
     monkeypatch.setattr("flowwarden.operators.neighbours.BLOCK", 40)
     rng = np.random.default_rng(11)
     refs = np.round(np.vstack([rng.normal(0, 1, (200, 3)), np.tile([5.0, 5.0, 5.0], (120, 1))]), 2)
@@ -225,13 +226,33 @@ def test_nearest_equals_brute_force(spark, monkeypatch):
     query_frame = spark.createDataFrame(
         [(i, *map(float, v)) for i, v in enumerate(queries)], "id bigint, x double, y double, z double"
     )
-    found = {r["id"]: (r["ref_id"], r["label"]) for r in nearest(query_frame, ref_frame, names, pivots=9).collect()}
+    found = {r["id"]: (r["ref_id"], r["label"]) for r in nearest(query_frame, ref_frame, names, leaf).collect()}
     for i, q in enumerate(queries):
         d2 = ((refs - q) ** 2).sum(axis=1)
         best = int(np.flatnonzero(d2 <= d2.min() + 1e-12)[0])
         assert found[i] == (f"r{best:03d}", f"l{best % 4}")
 
 
+def test_nearest_compares_few(spark):
+    """Ten times the references, about as many comparisons per query."""
+    means = []
+    for n in (4_000, 40_000):
+        refs = spark.range(n).selectExpr("id AS ref_id", "'l' AS ref_label", *[f"(pmod(xxhash64(id, {i}), 1000000)) / 1e6 AS f{i}" for i in range(3)])
+        asked = spark.range(300).selectExpr("id", *[f"(pmod(xxhash64(id, {i + 7}), 1000000)) / 1e6 AS f{i}" for i in range(3)])
+        found = nearest(asked, refs, ["f0", "f1", "f2"], leaf=64)
+        assert found.count() == 300
+        means.append(found.agg(F.avg("compared")).first()[0])
+    assert means[1] < 1.5 * means[0] < 1000
+
+
+def test_nearest_of_nothing(spark):
+    schema = "ref_id bigint, ref_label string, x double"
+    asked = spark.createDataFrame([(1, 0.5)], "id bigint, x double")
+    assert nearest(asked, spark.createDataFrame([], schema), ["x"]).count() == 0
+    one = spark.createDataFrame([(3, "l", 9.0), (2, "m", 9.0)], schema)
+    assert nearest(asked, one, ["x"]).first()[:4] == (1, 2, "m", 72.25)
+
+
 def test_rows_without_a_time_keep_their_place(spark):
     from pyspark.sql import functions as F
 
