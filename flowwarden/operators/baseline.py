@@ -120,16 +120,30 @@ def outlying(feature: str, limit: float = S.Z_THRESHOLD) -> Column:
     return F.abs(F.col(f"z_{feature}")) > limit
 
 
-def anomaly_score(limit: float = S.Z_THRESHOLD) -> Column:
+def anomaly_of(z: Sequence[Column], limit: float = S.Z_THRESHOLD) -> Column:
     """Half the share of outlying features plus half the capped largest deviation."""
-    count = sum((outlying(f, limit).cast("int") for f in S.FEATURES), F.lit(0))
-    largest = F.greatest(*[F.abs(F.col(f"z_{f}")) for f in S.FEATURES])
+    count = sum(((F.abs(c) > limit).cast("int") for c in z), F.lit(0))
+    largest = F.greatest(*[F.abs(c) for c in z])
     reach = F.least(largest / (2 * limit), F.lit(1.0))
     return F.when(
         largest > limit, F.lit(0.5) * (count / len(S.FEATURES)) + F.lit(0.5) * reach
     ).otherwise(0.0)
 
 
+def anomaly_score(limit: float = S.Z_THRESHOLD) -> Column:
+    return anomaly_of([F.col(f"z_{f}") for f in S.FEATURES], limit)
+
+
+def frozen_zscores(baseline: Baseline, values: dict[str, Column]) -> list[Column]:
+    """Deviations of given feature values from a fixed baseline; zeros while it is too small."""
+    if baseline.count < MIN_ROWS:
+        return [F.lit(0.0) for _ in S.FEATURES]
+    return [
+        (values[f].cast("double") - float(baseline.mean[f])) / (float(baseline.variance[f]) ** 0.5 + EPSILON)
+        for f in S.FEATURES
+    ]
+
+
 def outlying_features(limit: float = S.Z_THRESHOLD) -> Column:
     return F.array_compact(
         F.array(*[F.when(outlying(f, limit), F.lit(f)) for f in S.FEATURES])

@@ -15,13 +15,13 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowwarden import schema as S
 from flowwarden.functions.features import label_id, label_name, learned_severity
 from flowwarden.operators.baseline import Baseline, fit_baseline, scale_features
+from flowwarden.operators.calibration import Curve, isotonic
 from flowwarden.operators.quality import classification_report
 from flowwarden.operators.slices import hash_rank
 from flowwarden.session import stored
@@ -35,7 +35,6 @@ FOLDS = 3
 SEED = 42
 MIN_CONFIDENCE = 0.35
 MIN_ROWS = 10
-PLACES = 5  # probabilities are grouped to this many places before calibration
 
 
 @dataclass
@@ -45,19 +44,26 @@ class Classifier:
     scaler: Baseline
     classes: list[int]
     forests: list[RandomForestClassificationModel]
-    curves: list[dict[int, IsotonicRegressionModel]] = field(default_factory=list)
+    curves: list[dict[int, Curve]] = field(default_factory=list)
+
+    def curves_frame(self, spark: SparkSession) -> DataFrame:
+        """The points of all curves: fold, class, x, y."""
+        rows = [
+            (i, c, float(x), float(y))
+            for i, curves in enumerate(self.curves)
+            for c, curve in curves.items()
+            for x, y in zip(curve.x, curve.y, strict=True)
+        ]
+        return spark.createDataFrame(rows, "fold int, class int, x double, y double")
 
     def save(self, spark: SparkSession, path: str) -> None:
         for i, forest in enumerate(self.forests):
             forest.write().overwrite().save(f"{path}/forest-{i}")
-        for i, curves in enumerate(self.curves):
-            for c, model in curves.items():
-                model.write().overwrite().save(f"{path}/curve-{i}-{c}")
+        self.curves_frame(spark).write.mode("overwrite").parquet(f"{path}/curves")
         self.scaler.to_frame(spark).write.mode("overwrite").parquet(f"{path}/scaler")
         about = {
             "classes": self.classes,
             "forests": len(self.forests),
-            "curves": [sorted(c) for c in self.curves],
         }
         spark.createDataFrame([(json.dumps(about),)], "about string").write.mode(
             "overwrite"
@@ -73,13 +79,18 @@ class Classifier:
                 RandomForestClassificationModel.load(f"{path}/forest-{i}")
                 for i in range(about["forests"])
             ],
-            [
-                {c: IsotonicRegressionModel.load(f"{path}/curve-{i}-{c}") for c in classes}
-                for i, classes in enumerate(about["curves"])
-            ],
+            _curves_of(spark.read.parquet(f"{path}/curves").toPandas(), about["forests"]),
         )
 
 
+def _curves_of(points: pd.DataFrame, folds: int) -> list[dict[int, Curve]]:
+    found: list[dict[int, Curve]] = [{} for _ in range(folds)] if len(points) else []
+    for (fold, c), rows in points.groupby(["fold", "class"]):
+        ordered = rows.sort_values(["x", "y"])
+        found[fold][int(c)] = Curve(ordered["x"].to_numpy(), ordered["y"].to_numpy())
+    return found
+
+
 def class_weights(flows: DataFrame) -> DataFrame:
     """n / (classes x class rows) per label."""
     counts = flows.groupBy("label").agg(F.count("*").alias("n"))
@@ -161,44 +172,23 @@ def train_classifier(
 
 def _calibrate(
     forest: RandomForestClassificationModel, held_out: DataFrame, classes: list[int]
-) -> dict[int, IsotonicRegressionModel]:
-    """Isotonic curve per class, fitted on grouped probabilities.
-
-    Grouping leaves at most 10**PLACES + 1 weighted points per class, so the pooling
-    step of the regression never sees the held-out rows themselves.
-    """
+) -> dict[int, Curve]:
+    """Isotonic curve per class, on the exact held-out probabilities."""
     probability = vector_to_array("probability")
-    points = forest.transform(held_out).select(
-        "y",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("class"),
-                        F.round(probability[c], PLACES).alias("p"),
-                        (F.col("y") == c).cast("double").alias("hit"),
-                    )
-                    for c in classes
-                ]
-            )
-        ),
-    )
-    grouped = stored(
-        points.groupBy("class", "p").agg(
-            F.avg("hit").alias("hit"), F.count("*").cast("double").alias("w")
-        ),
-        "calibration",
-    )
-    curve = IsotonicRegression(featuresCol="p", labelCol="hit", weightCol="w")
-    return {c: curve.fit(grouped.where(F.col("class") == c)) for c in classes}
+    each = [
+        F.struct(
+            F.lit(c).alias("class"), probability[c].alias("p"), (F.col("y") == c).cast("int").alias("hit")
+        )
+        for c in classes
+    ]
+    pools = isotonic(forest.transform(held_out).select(F.inline(F.array(*each))), ["class"])
+    steps = pools.toPandas()  # the steps of the curves, part of the model
+    return {int(c): Curve.of(rows) for c, rows in steps.groupby("class")}
 
 
 def _calibrated(model: Classifier, raw: list[Column]) -> Column:
     """Class probabilities from the folds' raw ones: curve, normalise, average."""
-    curves = [
-        {c: (m.boundaries.toArray(), m.predictions.toArray()) for c, m in fold.items()}
-        for fold in model.curves
-    ]
+    curves = model.curves
     classes = model.classes
 
     @F.pandas_udf("array<double>")
@@ -209,7 +199,7 @@ def _calibrated(model: Classifier, raw: list[Column]) -> Column:
                 continue
             given = np.stack(fold.to_numpy())[:, classes]
             if curves:
-                fitted = [np.interp(given[:, j], *curves[i][c]) for j, c in enumerate(classes)]
+                fitted = [curves[i][c](given[:, j]) for j, c in enumerate(classes)]
                 given = np.clip(np.column_stack(fitted), 0.0, 1.0)
                 sums = given.sum(axis=1, keepdims=True)
                 even = np.full_like(given, 1.0 / len(classes))

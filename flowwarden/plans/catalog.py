@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowwarden import schema as S
@@ -25,6 +25,7 @@ from flowwarden.operators import quality as Q
 from flowwarden.operators import response as R
 from flowwarden.operators import scenarios as N
 from flowwarden.operators import signatures as D
+from flowwarden.operators.calibration import isotonic
 from flowwarden.operators.neighbours import nearest
 from flowwarden.plans import fixtures as X
 from flowwarden.plans import logs_fixture as W
@@ -539,12 +540,13 @@ def st5_zscore_score(spark, sf):
 
 @query
 def st6_iforest_fit(spark, sf):
-    return forest(spark, sf).to_frame(spark)
+    return rounded(forest(spark, sf).to_frame(spark), 6, "split", "offset")
 
 
 @query
 def st7_iforest_score(spark, sf):
-    return flows(spark, sf).select("uid", I.forest_score(forest(spark, sf)).alias("if_score"))
+    found = flows(spark, sf).select("uid", I.forest_score(forest(spark, sf)).alias("if_score"))
+    return rounded(found, 6, "if_score")
 
 
 @query
@@ -558,7 +560,7 @@ def st8_combined_forest(spark, sf):
     found = B.statistical_scores(
         B.prior_moments(flows(spark, sf), baseline(spark, sf)), I.forest_score(forest(spark, sf))
     )
-    return found.select("uid", "stat_score", "stat_fires", "stat_severity")
+    return rounded(found.select("uid", "stat_score", "stat_fires", "stat_severity"), 6, "stat_score")
 
 
 @query
@@ -598,12 +600,23 @@ def ml4_kfold(spark, sf):
 
 @query
 def ml5_calibration(spark, sf):
-    rows = []
-    for i, curves in enumerate(classifier(spark, sf).curves):
-        for c, curve in curves.items():
-            points = zip(curve.boundaries.toArray().tolist(), curve.predictions.toArray().tolist())
-            rows += [(i, S.LABELS[c], x, y) for x, y in points]
-    return spark.createDataFrame(rows, "fold int, label string, probability double, calibrated double")
+    points = classifier(spark, sf).curves_frame(spark)
+    return points.select(
+        "fold", fn.label_name(F.col("class")).alias("label"), F.col("x").alias("probability"), F.col("y").alias("calibrated")
+    )
+
+
+@query
+def ml5_pooling(spark, sf):
+    """Calibration curves of a plain score, the flow's bytes in steps of 64, for each fold and
+    class of the classifier."""
+    share = F.floor(F.col("byte_count") / 64) / F.lit(2048.0)
+    folded = M.stratified_folds(flows(spark, sf)).select("fold", "label", share.alias("p"))
+    each = F.explode(F.array(*[F.lit(x) for x in S.LABELS]))
+    points = folded.select("fold", "p", "label", each.alias("class"))
+    points = points.select("fold", "class", "p", (F.col("label") == F.col("class")).cast("int").alias("hit"))
+    found = isotonic(points, ["fold", "class"])
+    return rounded(found.withColumn("share", F.col("hits") / F.col("n")), 9, "low", "high", "share")
 
 
 @query
@@ -849,22 +862,20 @@ def ga3_latent(spark, sf):
     return G.latent_samples(training(spark, sf))
 
 
-def _frozen_score(spark: SparkSession, sf: str) -> Callable[[DataFrame], DataFrame]:
+def _frozen_score(spark: SparkSession, sf: str) -> G.Score:
     fixed = baseline(spark, sf)
 
-    def score(df: DataFrame) -> DataFrame:
-        found = B.with_zscores(B.frozen_moments(df, fixed))
-        largest = F.greatest(*[F.abs(F.col(f"z_{f}")) for f in S.FEATURES])
-        return found.withColumn("score", B.anomaly_score() + largest / 100).select(
-            *df.columns, "score"
-        )
+    def score(values: dict) -> Column:
+        z = B.frozen_zscores(fixed, values)
+        return B.anomaly_of(z) + F.greatest(*[F.abs(c) for c in z]) / 100
 
     return score
 
 
 @query
 def ga4_boundary(spark, sf):
-    return G.boundary_search(training(spark, sf), everything(spark, sf), _frozen_score(spark, sf))
+    found = G.boundary_search(training(spark, sf), everything(spark, sf), _frozen_score(spark, sf))
+    return rounded(found, 3, *S.FEATURES)
 
 
 def probes(spark: SparkSession, sf: str) -> DataFrame:

@@ -462,6 +462,82 @@ FROM judged WHERE stat_fires
 """,
 )
 
+# isolation forest: the same draws, level by level
+
+_TREES, _SAMPLE, _DEPTH, _SEED = 100, 256, 8, 42
+_PRIME = 2147483647
+_X = "[" + ", ".join(f"{f}::double" for f in FEATURES) + "]"
+
+
+def _hex(text: str, at: int = 1) -> str:
+    return f"('0x' || substr(md5({text}), {at}, 7))::bigint"
+
+
+def _drawn(what: str) -> str:
+    return f"({_hex(f"concat('{_SEED}|', tree, '|', node, '|{what}')")} / 268435456.0::double)"
+
+
+def _forest_tables() -> str:
+    """CTEs `nodes`, `raw` (minus two to the minus mean path) and `placed` (the offset)."""
+    factor = ", ".join(f"{_hex(f"concat('{_SEED}|', tree, '|{part}')")} + 1 AS f{part}" for part in "abcd")
+    extremes = ", ".join(f"[{', '.join(f'{fn}(x[{i + 1}])' for i in range(16))}] AS {name}" for fn, name in (("min", "lo"), ("max", "hi")))
+    sql = f"""
+, vectors AS MATERIALIZED (SELECT uid, label, {_hex('uid')} AS ha, {_hex('uid', 8)} AS hb, {_X} AS x FROM flows)
+, factors AS (SELECT tree, {factor} FROM range({_TREES}) t(tree))
+, picks AS (SELECT tree, x, row_number() OVER (PARTITION BY tree
+  ORDER BY (ha * fa + fb) % {_PRIME} * 2147483648 + (hb * fc + fd) % {_PRIME}, uid) AS place FROM vectors, factors WHERE label = 'normal')
+, members0 AS MATERIALIZED (SELECT tree, 0::bigint AS node, x FROM picks WHERE place <= {_SAMPLE})
+, used AS (SELECT max(n) AS sample, greatest(ceil(log2(greatest(max(n), 2))), 1)::int AS most FROM (SELECT count(*) AS n FROM members0 GROUP BY tree))
+"""
+    for d in range(_DEPTH + 1):
+        sql += f"""
+, boxes{d} AS (SELECT tree, node, count(*) AS size, {extremes} FROM members{d} GROUP BY tree, node)
+, open{d} AS (SELECT *, list_filter(range(16), lambda i: hi[i + 1] > lo[i + 1]) AS usable FROM boxes{d})
+, chosen{d} AS (SELECT *, CASE WHEN {d} < most AND size >= 2 AND len(usable) > 0
+  THEN usable[floor({_drawn('feature')} * len(usable))::int + 1]::int ELSE -1 END AS feature FROM open{d}, used)
+, nodes{d} AS MATERIALIZED (SELECT tree::int AS tree, node::int AS node, feature, {d} AS depth, size::int AS size,
+  CASE WHEN feature >= 0 THEN lo[feature + 1] + {_drawn('split')} * (hi[feature + 1] - lo[feature + 1]) ELSE 0.0 END AS split FROM chosen{d})
+"""
+        if d < _DEPTH:
+            sql += f"""
+, members{d + 1} AS MATERIALIZED (SELECT m.tree, 2 * m.node + 1 + (x[feature + 1] > split)::int AS node, x
+  FROM members{d} m JOIN nodes{d} n ON m.tree = n.tree AND m.node = n.node WHERE feature >= 0)
+"""
+    length = """
+depth + CASE WHEN size > 2 THEN 2.0::double * (ln(size - 1.0::double) + 0.5772156649::double) - 2.0::double * (size - 1.0::double) / size
+  WHEN size = 2 THEN 1.0 ELSE 0.0 END"""
+    sql += ", nodes AS (" + " UNION ALL ".join(f"SELECT * FROM nodes{d}" for d in range(_DEPTH + 1)) + ")"
+    sql += ", walk0 AS (SELECT uid, x, tree::int AS tree, 0 AS node FROM vectors, factors)"
+    for d in range(_DEPTH):
+        sql += f"""
+, walk{d + 1} AS (SELECT uid, x, w.tree, CASE WHEN feature >= 0 THEN 2 * w.node + 1 + (x[feature + 1] > split)::int ELSE w.node END AS node
+  FROM walk{d} w JOIN nodes n ON n.tree = w.tree AND n.node = w.node)
+"""
+    return sql + f"""
+, norm AS (SELECT 2.0::double * (ln(sample - 1.0::double) + 0.5772156649::double) - 2.0::double * (sample - 1.0::double) / sample AS c FROM used)
+, paths AS (SELECT uid, sum({length}) AS total FROM walk{_DEPTH} w JOIN nodes n ON n.tree = w.tree AND n.node = w.node GROUP BY uid)
+, raw AS MATERIALIZED (SELECT uid, -pow(2.0::double, -total / {_TREES}.0::double / c) AS s FROM paths, norm)
+, placed AS (SELECT s AS edge FROM (SELECT s, row_number() OVER (ORDER BY s) AS place, count(*) OVER () AS n
+  FROM raw JOIN vectors USING (uid) WHERE label = 'normal') WHERE place = ceil(n * 0.05::double))
+, iforest AS (SELECT uid, greatest(0.0, least(1.0, 0.5 - (s - edge))) AS if_score FROM raw, placed)
+"""
+
+
+_FOREST = _forest_tables()
+SQL["st6_iforest_fit"] = over(
+    FLOWS + _FOREST,
+    f"SELECT tree, node, feature, {rnd('split', 6, 'split')}, depth, size, sample::int AS sample, {rnd('edge', 6, 'offset')} FROM nodes, used, placed",
+)
+SQL["st7_iforest_score"] = over(FLOWS + _FOREST, f"SELECT uid, {rnd('if_score', 6, 'if_score')} FROM iforest")
+SQL["st8_combined_forest"] = over(
+    _JUDGED + _FOREST,
+    f"""
+, both_ AS (SELECT uid, 0.4::double * z_score + 0.6::double * if_score AS c FROM judged JOIN iforest USING (uid))
+SELECT uid, {rnd('c', 6, 'stat_score')}, c >= 0.40 AS stat_fires,
+  CASE WHEN c >= 0.75 THEN 3 WHEN c >= 0.55 THEN 2 WHEN c >= 0.40 THEN 1 END AS stat_severity FROM both_
+""",
+)
+
 # ---- machine learning ----
 
 _ALL = (
@@ -484,6 +560,31 @@ SQL["ml4_kfold"] = over(
     FLOWS,
     "SELECT uid, label, ((row_number() OVER (PARTITION BY label ORDER BY md5(uid), uid) - 1) % 3)::int AS fold FROM flows",
 )
+# isotonic curves as the lower convex hull of the running sums: from each corner the hull goes
+# on to the point of least slope, the furthest of several
+SQL["ml5_pooling"] = over(
+    FLOWS
+    + """
+, folded AS (SELECT ((row_number() OVER (PARTITION BY label ORDER BY md5(uid), uid) - 1) % 3)::int AS fold, label, (byte_count // 64) / 2048.0::double AS p FROM flows)
+, classes AS (SELECT unnest(['normal', 'scan', 'replay', 'command_injection', 'flooding', 'mitm']) AS class)
+, steps AS (SELECT fold, class, p, count(*) FILTER (label = class) AS hits, count(*) AS n FROM folded, classes GROUP BY ALL)
+, sums AS MATERIALIZED (SELECT *, row_number() OVER w AS i, (sum(hits) OVER w)::bigint AS y, (sum(n) OVER w)::bigint AS x FROM steps
+  WINDOW w AS (PARTITION BY fold, class ORDER BY p))
+, hull AS (
+SELECT DISTINCT fold, class, 0::bigint AS i, 0::bigint AS x, 0::bigint AS y FROM steps
+UNION ALL
+SELECT fold, class, best.i, best.x, best.y FROM (
+  SELECT h.fold, h.class, arg_min({'i': s.i, 'x': s.x, 'y': s.y}, {'slope': (s.y - h.y) / (s.x - h.x), 'far': -s.i}) AS best
+  FROM hull h JOIN sums s ON s.fold = h.fold AND s.class = h.class AND s.i > h.i GROUP BY h.fold, h.class))
+, pools AS (SELECT *, lag(i) OVER w AS before, y - lag(y) OVER w AS hits, x - lag(x) OVER w AS n FROM hull WINDOW w AS (PARTITION BY fold, class ORDER BY i))
+""",
+    f"""
+SELECT p.fold, p.class, {rnd('a.p', 9, 'low')}, {rnd('b.p', 9, 'high')}, p.hits, p.n, {rnd('p.hits / p.n', 9, 'share')}
+FROM pools p JOIN sums a ON a.fold = p.fold AND a.class = p.class AND a.i = p.before + 1
+  JOIN sums b ON b.fold = p.fold AND b.class = p.class AND b.i = p.i WHERE p.i > 0
+""",
+    recursive=True,
+)
 _REPORT = (
     BUSY_MATCHES
     + """
@@ -801,6 +902,42 @@ probes AS (SELECT p_partkey AS id, p_size * p_size / 200.0::double AS flow_durat
   (p_partkey % 9)::double / 10 AS error_rate FROM part)
 """
 _D2 = " + ".join(f"(p.{f} - f.{f}) * (p.{f} - f.{f})" for f in FEATURES)
+
+
+def _boundary() -> str:
+    """Ten steps of the search over vectors x, each with its three candidates."""
+    step = "[" + ", ".join(f"0.15::double * (sqrt(whole.v_{f}) + 1e-6::double)" for f in FEATURES) + "]"
+    mean = "[" + ", ".join(f"base.m_{f}" for f in FEATURES) + "]"
+    width = "[" + ", ".join(f"sqrt(base.v_{f}) + 1e-9::double" for f in FEATURES) + "]"
+    everything = ", ".join(f"var_pop({f}::double) AS v_{f}" for f in FEATURES)
+    sql = f"""
+, whole AS (SELECT {everything} FROM flows)
+, scale AS MATERIALIZED (SELECT {step} AS step, {mean} AS mean, {width} AS width FROM whole, base)
+, at0 AS (SELECT uid, {_X} AS x FROM flows)
+"""
+
+    def score(x: str) -> str:
+        z = f"list_transform(range(16), lambda i: abs(({x}[i + 1] - mean[i + 1]) / width[i + 1]))"
+        return (
+            f"(SELECT CASE WHEN big > 3.5 THEN 0.5 * (odd / 16) + 0.5 * least(big / 7.0, 1.0) ELSE 0.0 END + big / 100 "
+            f"FROM (SELECT list_max(z) AS big, len(list_filter(z, lambda c: c > 3.5)) AS odd FROM (SELECT {z} AS z)))"
+        )
+
+    for k in range(10):
+        side = lambda s: f"list_transform(range(16), lambda i: x[i + 1] + CASE WHEN i = pick THEN {s} * step[i + 1] ELSE 0.0::double END)"
+        sql += f"""
+, pick{k} AS (SELECT uid, x, floor({_unit('uid', f"'{k}'", "'feature'")} * 16)::int AS pick FROM at{k})
+, three{k} AS (SELECT uid, x, {side('1.0::double')} AS up, {side('-1.0::double')} AS down, mean, width FROM pick{k}, scale)
+, judged{k} AS (SELECT *, {score('x')} AS s, {score('up')} AS u, {score('down')} AS d FROM three{k})
+, at{k + 1} AS MATERIALIZED (SELECT uid, CASE WHEN s <= u AND s <= d THEN x WHEN u <= d THEN up ELSE down END AS x FROM judged{k})
+"""
+    return sql
+
+
+SQL["ga4_boundary"] = over(
+    FLOWS + _BASE + _boundary(),
+    "SELECT uid AS id, " + ", ".join(rnd(_constrained(i, f"x[{i + 1}]"), 3, f) for i, f in enumerate(FEATURES)) + " FROM at10",
+)
 SQL["ga5_nn_labels"] = over(
     FLOWS + ", " + _PROBES,
     f"""
