@@ -161,14 +161,16 @@ def attack_guess() -> Column:
 
 
 def statistical_scores(df: DataFrame, forest_score: Column | None = None) -> DataFrame:
-    """Add z_score, stat_score, stat_fires, stat_attack, stat_severity.
+    """Add z_score, if_score, stat_score, stat_fires, stat_attack, stat_severity.
 
     With an isolation-forest score the two are mixed 0.4 to 0.6; else z alone.
     """
-    scored = with_zscores(df).withColumn("z_score", anomaly_score())
+    scored = with_zscores(df).withColumns(
+        {"z_score": anomaly_score(), "if_score": F.lit(0.0) if forest_score is None else forest_score}
+    )
     mixed = F.col("z_score")
     if forest_score is not None:
-        mixed = (1 - FOREST_SHARE) * F.col("z_score") + FOREST_SHARE * forest_score
+        mixed = (1 - FOREST_SHARE) * F.col("z_score") + FOREST_SHARE * F.col("if_score")
     return (
         scored.withColumn("stat_score", mixed)
         .withColumn("stat_fires", F.col("stat_score") >= STATISTICAL_ALERT)
@@ -194,6 +196,9 @@ def statistical_alerts(scored: DataFrame) -> DataFrame:
         F.least("stat_score", F.lit(1.0)).alias("confidence"),
         F.col("stat_score").alias("score"),
         F.lit("statistical").alias("detector"),
+        F.create_map(
+            F.lit("zscore"), F.col("z_score"), F.lit("iforest"), F.col("if_score"), F.lit("combined"), F.col("stat_score")
+        ).alias("raw_scores"),
         outlying_features().alias("features"),
     )
 

@@ -22,7 +22,7 @@ from flowwarden import schema as S
 from flowwarden.functions.features import label_id, label_name, learned_severity
 from flowwarden.operators.baseline import Baseline, fit_baseline, scale_features
 from flowwarden.operators.calibration import Curve, isotonic
-from flowwarden.operators.quality import classification_report
+from flowwarden.operators.quality import classification_report, shuffled_split
 from flowwarden.operators.slices import hash_rank
 from flowwarden.session import stored
 
@@ -275,3 +275,12 @@ def evaluate(model: Classifier, flows: DataFrame) -> DataFrame:
     return classification_report(
         predict(model, flows).select(known.alias("label"), "predicted")
     )
+
+
+def train_and_evaluate(
+    flows: DataFrame, test_share: float = 0.2, trees: int = TREES, max_depth: int = MAX_DEPTH
+) -> tuple[Classifier, DataFrame]:
+    """A model of a part of the flows, and its report on the others, which it has not seen."""
+    split = stored(shuffled_split(flows, test_share), "split")
+    model = train_classifier(split.where("part = 'train'").drop("part"), trees, max_depth)
+    return model, evaluate(model, split.where("part = 'test'").drop("part"))

@@ -67,14 +67,20 @@ def breakdown(alert_rows: DataFrame) -> DataFrame:
 
 
 def snapshot_json(outcomes: DataFrame, alert_rows: DataFrame) -> DataFrame:
-    """The counters and rates as one JSON document, rates rounded to four places."""
+    """Counters, rates (four places), breakdowns, the timeline of the newest ticks and the flows
+    of the last second as one JSON document."""
     nested = (
         breakdown(alert_rows)
         .groupBy("dimension")
         .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias("m"))
         .agg(F.map_from_entries(F.collect_list(F.struct("dimension", "m"))).alias("maps"))
     ).scalar()
-    row = rates(confusion(outcomes)).withColumn("maps", nested)
+    tick = F.struct("tick_us", "alerts", "total", "tpr")  # at most TICKS of them
+    line = timeline(outcomes).agg(F.array_sort(F.collect_list(tick))).scalar()
+    last = throughput(outcomes).agg(F.max_by("flows_per_sec", "tick_us")).scalar()
+    row = rates(confusion(outcomes)).withColumns(
+        {"maps": nested, "timeline": line, "flows_per_sec": F.round(last, 1)}
+    )
     rounded = [F.round(c, 4).alias(c) for c in ("tpr", "fpr", "precision", "f1")]
     maps = [
         F.col("maps")[d].alias(k)
@@ -85,7 +91,9 @@ def snapshot_json(outcomes: DataFrame, alert_rows: DataFrame) -> DataFrame:
         )
     ]
     counts = ["total", "alerts", "tp", "fp", "fn", "tn"]
-    return row.select(F.to_json(F.struct(*counts, *rounded, *maps)).alias("snapshot"))
+    return row.select(
+        F.to_json(F.struct(*counts, *rounded, *maps, "timeline", "flows_per_sec")).alias("snapshot")
+    )
 
 
 def per_tick(outcomes: DataFrame, seconds: int = 1) -> DataFrame:

@@ -127,8 +127,11 @@ def classifier(spark: SparkSession, sf: str) -> M.Classifier:
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    """Rule and running statistical scores; the classifier is not part of it."""
-    return E.ensemble(E.detector_scores(flows(spark, sf), baseline(spark, sf)))
+    """All three detectors: rules, running statistics with the forest, and learned scores."""
+    found = E.detector_scores(
+        X.learned(flows(spark, sf)), baseline(spark, sf), forest_score=I.forest_score(forest(spark, sf))
+    )
+    return E.ensemble(found)
 
 
 def log_path(name: str, spark: SparkSession, sf: str, make: Callable[[], DataFrame]) -> str:
@@ -229,11 +232,27 @@ def snk2_alert_log(spark, sf):
 
 @query
 def snk3_artifacts(spark, sf):
-    path = scratch_path(spark, "artifacts")
-    datasets.save_artifacts(spark, path, baseline(spark, sf), forest(spark, sf))
-    back = datasets.load_baseline(spark, path)
-    same = F.lit(len(datasets.load_forest(spark, path).nodes) == len(forest(spark, sf).nodes))
-    return rounded(back.to_frame(spark), 4, "mean", "variance").withColumn("forest_kept", same)
+    """Baseline, forest and classifier written and read back: what was read is compared with
+    what was fitted, the forest by its nodes and the classifier by its curves and, written once
+    more, by the nodes of its trees."""
+    paths = [scratch_path(spark, "artifacts") for _ in range(2)]
+    fixed, trees, model = baseline(spark, sf), forest(spark, sf), classifier(spark, sf)
+    datasets.save_artifacts(spark, paths[0], fixed, trees, model)
+    other, again = datasets.load_forest(spark, paths[0]), datasets.load_classifier(spark, paths[0])
+    datasets.save_artifacts(spark, paths[1], fixed, other, again)
+    order = ["tree", "node"]
+    nodes = [f.nodes.sort_values(order, ignore_index=True) for f in (trees, other)]
+    same = nodes[0].equals(nodes[1][nodes[0].columns]) and (trees.sample, trees.offset) == (other.sample, other.offset)
+
+    def content(path: str, curves: DataFrame) -> list:
+        tables = [spark.read.parquet(f"{path}/classifier/forest-{i}/data") for i in range(len(model.forests))]
+        return [t.agg(F.count("*"), F.bit_xor(F.xxhash64(*t.columns))).first() for t in [*tables, curves]]
+
+    kept = content(paths[0], model.curves_frame(spark)) == content(paths[1], again.curves_frame(spark))
+    back = datasets.load_baseline(spark, paths[0]).to_frame(spark)
+    return rounded(back, 4, "mean", "variance").withColumns(
+        {"forest_kept": F.lit(same), "classifier_kept": F.lit(kept)}
+    )
 
 
 @query
@@ -565,9 +584,12 @@ def st8_combined_forest(spark, sf):
 
 @query
 def st9_attack(spark, sf):
-    found = B.statistical_scores(B.prior_moments(flows(spark, sf), baseline(spark, sf)))
+    found = B.statistical_scores(
+        B.prior_moments(flows(spark, sf), baseline(spark, sf)), I.forest_score(forest(spark, sf))
+    )
     out = B.statistical_alerts(found).withColumn("features", F.array_join("features", ","))
-    return rounded(out, 6, "confidence", "score")
+    raw = {n: F.col("raw_scores")[n] for n in ("zscore", "iforest", "combined")}
+    return rounded(out.withColumns(raw).drop("raw_scores"), 6, "confidence", "score", *raw)
 
 
 # ---- machine learning ----
@@ -638,6 +660,78 @@ def ml8_importance(spark, sf):
     return M.importances(classifier(spark, sf), spark)
 
 
+# What must hold of the learned models, as counts beside those of the tables.
+
+
+@query
+def ml3_training(spark, sf):
+    model = classifier(spark, sf)
+    dealt = M.stratified_folds(flows(spark, sf)).groupBy("fold").count().collect()  # one row a fold
+    total = sum(r["count"] for r in dealt)
+    sizes = {r["fold"]: total - r["count"] for r in dealt}
+    rows = [
+        (i, f.getNumTrees, len(model.classes), sizes[i], f.totalNumNodes > f.getNumTrees)
+        for i, f in enumerate(model.forests)
+    ]
+    return spark.createDataFrame(rows, "fold int, trees int, classes int, training_rows bigint, grown boolean")
+
+
+@query
+def ml6_totals(spark, sf):
+    found = M.predict(classifier(spark, sf), flows(spark, sf))
+    each = F.map_values("class_probabilities")
+    total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+    best = F.col("class_probabilities")[F.col("predicted")]
+    sure = (F.col("predicted") != "normal") & (F.col("ml_confidence") >= M.MIN_CONFIDENCE)
+    fit = (F.col("ml_attack").isNotNull() == sure) & (F.col("ml_severity").isNotNull() == sure)
+    return found.groupBy("label").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+        F.count_if((best == F.array_max(each)) & (best == F.col("ml_confidence"))).alias("best_is_predicted"),
+        F.count_if(fit).alias("alert_fields_fit"),
+        (F.count_if(F.col("predicted") == F.col("label")) * 2 > F.count("*")).alias("mostly_right"),
+    )
+
+
+@query
+def ml7_totals(spark, sf):
+    found = M.attack_probability(classifier(spark, sf), flows(spark, sf))
+    p, truth = F.col("ml_probability"), Q.attack_truth()
+    none = M.attack_probability(None, flows(spark, sf)).agg(F.count_if(F.col("ml_probability") == 0))
+    return found.join(flows(spark, sf).select("uid", "label"), "uid").agg(
+        F.count("*").alias("n"),
+        F.count_if((p >= 0) & (p <= 1)).alias("in_range"),
+        none.scalar().alias("without_a_model"),
+        (F.avg(F.when(truth, p)) > F.avg(F.when(~truth, p)) + 0.5).alias("attacks_above_normal"),
+    )
+
+
+@query
+def ml8_top(spark, sf):
+    """The five most important features: places, and what must hold of their values."""
+    every = M.importances(classifier(spark, sf), spark).agg(F.sum("importance")).first()[0]
+    top = M.importances(classifier(spark, sf), spark, 5).collect()
+    values = [r["importance"] for r in top]
+    rows = [
+        (i + 1, i == 0 or values[i] <= values[i - 1], r["feature"] in S.FEATURES, abs(every - 1) < 1e-9)
+        for i, r in enumerate(top)
+    ]
+    return spark.createDataFrame(rows, "place int, falling boolean, a_feature boolean, sums_to_one boolean")
+
+
+@query
+def ml9_holdout(spark, sf):
+    """Trained on four fifths, reported on the rest."""
+    report = shared("holdout", spark, sf, lambda: stored(M.train_and_evaluate(flows(spark, sf))[1], "holdout"))
+    accuracy = report.where("class = 'accuracy'").select("f1").scalar()
+    return report.select("class", "support", (accuracy > 0.5).alias("accurate"))
+
+
+@query
+def ml9_holdout_report(spark, sf):
+    return shared("holdout", spark, sf, lambda: stored(M.train_and_evaluate(flows(spark, sf))[1], "holdout"))
+
+
 @query
 def ml9_report(spark, sf):
     found = outcomes(spark, sf).select("label", F.coalesce("attack_type", F.lit("normal")).alias("predicted"))
@@ -687,8 +781,9 @@ def en4_alerts(spark, sf):
         "confidence", "high_confidence",
         F.col("raw_scores")["rule_based"].alias("rule_based"),
         F.col("raw_scores")["statistical"].alias("statistical"),
+        F.col("raw_scores")["ml"].alias("ml"),
     )
-    return rounded(out, 6, "score", "confidence", "statistical")
+    return rounded(out, 6, "score", "confidence", "statistical", "ml")
 
 
 @query
@@ -701,6 +796,18 @@ def en5_train(spark, sf):
     return Q.rates(Q.confusion(full))
 
 
+@query
+def en5_totals(spark, sf):
+    found = en5_train(spark, sf)
+    return found.select(
+        "total",
+        (F.col("tp") + F.col("fn")).alias("attacks"),
+        (F.col("fp") + F.col("tn")).alias("normal"),
+        (F.col("tpr") > 0.4).alias("detects"),
+        (F.col("fpr") < 0.35).alias("few_false"),
+    )
+
+
 @query
 def en6_batch(spark, sf):
     out = E.batch_analysis(scored(spark, sf)).select(
@@ -1020,7 +1127,8 @@ def _drained(table: DataFrame, column: str, job: Callable[[DataFrame], DataFrame
 @query
 def str1_detect(spark, sf):
     out, checkpoint, _ = jobs.fresh_paths(spark, "detect")
-    found = jobs.detect(X.project_flows(_stream(spark, sf, "lineitem")), baseline(spark, sf))
+    feed = X.learned(X.project_flows(_stream(spark, sf, "lineitem")))
+    found = jobs.detect(feed, baseline(spark, sf), I.forest_score(forest(spark, sf)))
     names = ["uid", "attack_type", "severity", "detector", "score"]
     jobs.run_to_files(found.select(names), out, checkpoint)
     return rounded(spark.read.parquet(out), 6, "score")

