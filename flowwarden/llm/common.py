@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import sys
 import uuid
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowwarden.session import scratch_path, stored
 
-__all__ = ["kept", "mix64", "reader", "scratch_path", "splits", "stored", "table", "texts_of", "writer"]
+__all__ = ["kept", "mix64", "reader", "released", "scratch_path", "splits", "stored", "table", "texts_of", "writer"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +57,19 @@ def kept(key: tuple, make: Callable[[], Any]) -> Any:
     return held[key]
 
 
+def released(*names: str) -> None:
+    """Drops what earlier stages of a job kept in this process, but for keys that begin with one
+    of ``names``, and gives freed memory back to the system: workers outlive their stage."""
+    held = sys.modules.get("flowwarden_kept")
+    for key in [k for k in (held.__dict__ if held else {}) if isinstance(k, tuple) and k[0] not in names]:
+        del held.__dict__[key]
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (fixed multipliers)."""
     x = x ^ (x >> np.uint64(30))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowwarden.llm.bpe import StreamingDecoder, TextEncoder, Vocabulary, ranks_of
-from flowwarden.llm.common import kept
+from flowwarden.llm.common import kept, released
 
 _SLICE = 512
 #: Ids that the streaming decoder takes at a time.
@@ -59,6 +59,7 @@ def encode(
     path = vocabulary or vocabulary_path()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released("byte-level")
         coder = _encoder(path, pattern)
         gc.disable()  # the transducer's many small objects hold no cycles
         try:
@@ -75,6 +76,7 @@ def encode(
                     yield pa.RecordBatch.from_arrays(columns, names)
         finally:
             gc.enable()
+            released("byte-level")
 
     chosen = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowwarden.llm.common import mix64
+from flowwarden.llm.common import mix64, released
 
 GRAMS = (2, 3)
 BUCKETS = 1 << 16
@@ -147,6 +147,7 @@ def predict(
     kept, text = len(carry), chosen.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         known = Model(*shared.value)
         for batch in batches:
             found = [known.classify(x) for x in batch.column(text).to_pylist()]

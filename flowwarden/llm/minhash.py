@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowwarden.llm.common import kept, mix64, splits, stored, texts_of
+from flowwarden.llm.common import kept, mix64, released, splits, stored, texts_of
 from flowwarden.llm.components import components
 
 WORDS = 5
@@ -144,6 +144,7 @@ def _keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    released("powers")
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
@@ -171,6 +172,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    released("powers")
     for batch in batches:
         distance, linked = [], []
         for left, right in zip(batch.column(2), batch.column(3), strict=True):
