@@ -221,7 +221,8 @@ def read_shards(shards: DataFrame, folder: str, id_col: str = "doc_id") -> DataF
                     )
                 file.close()
 
-    listed = shards.select("shard", "base").repartition("shard")
+    files = shards.count()  # an explicit number: else the short list ends up in one task
+    listed = shards.select("shard", "base").repartitionByRange(max(files, 1), "shard")
     found = listed.mapInArrow(work, "id long, start long, n_tokens long, ids_crc32 long")
     return found.withColumnRenamed("id", id_col)
 

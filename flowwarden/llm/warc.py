@@ -185,7 +185,8 @@ def read(archives: DataFrame, chunk: int = CHUNK, payloads: bool = True) -> Data
         "record_id string, page_id long, url string, record_type string, refers_id string, chunk_no long, "
         "last boolean, bytes_so_far long, digest_so_far string, data binary"
     )
-    return archives.select("path").repartition("path").mapInArrow(work, kinds)
+    files = archives.count()  # an explicit number: else small lists of paths end up in one task
+    return archives.select("path").repartitionByRange(max(files, 1), "path").mapInArrow(work, kinds)
 
 
 def resolved(chunks: DataFrame) -> DataFrame:
@@ -195,13 +196,16 @@ def resolved(chunks: DataFrame) -> DataFrame:
     answers = whole.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_id")).agg(
         F.max("bytes_so_far").alias("bytes"), F.max("digest_so_far").alias("digest"), F.max("page_id").alias("refers_to")
     )
-    return whole.join(answers, "refers_id", "left").select(
-        "page_id",
-        F.when(F.col("record_type") == "revisit", F.col("bytes")).otherwise(F.col("bytes_so_far")).alias("payload_bytes"),
-        F.when(F.col("record_type") == "revisit", F.col("digest")).otherwise(F.col("digest_so_far")).alias("payload_digest"),
-        "record_type",
-        "refers_to",
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    # only revisits are joined: responses have no reference, one null key for most rows
+    revisits = whole.where("record_type = 'revisit'").join(answers, "refers_id", "left").select(
+        "page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to"
     )
+    others = whole.where("record_type != 'revisit'").select(
+        "page_id", F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"),
+        "record_type", F.lit(None).cast("long").alias("refers_to"),
+    )
+    return others.unionByName(revisits).select(columns)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

@@ -325,6 +325,12 @@ def test_warc_round_trip(spark, tmp_path):
     assert one[4].digest_so_far == hashlib.sha256(big.encode()[:5000]).hexdigest()
 
 
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    pages = spark.range(400).selectExpr("id AS page_id", "concat('u', id) AS url", "repeat(cast(id % 300 AS string), 90) AS html")
+    archives = warc.write(warc.chunked(warc.records(pages.repartition(8))), str(tmp_path))
+    assert warc.read(archives).rdd.getNumPartitions() == archives.count() > 1
+
+
 def test_warc_cut_short():
     record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nContent-Length: 30\r\n\r\nHTTP/1.1 200 OK\r\n\r\nabc"
     with pytest.raises(ValueError):
