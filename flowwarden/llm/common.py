@@ -18,13 +18,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowwarden.session import scratch_path, stored
 
-__all__ = ["kept", "mix64", "reader", "released", "scratch_path", "splits", "stored", "table", "texts_of", "writer"]
+__all__ = ["free_names", "kept", "mix64", "reader", "released", "scratch_path", "splits", "stored", "table", "texts_of", "writer"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, made longer where the table has a column called so in any case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and the offsets of its rows (null: empty)."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

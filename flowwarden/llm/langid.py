@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowwarden.llm.common import mix64, released
+from flowwarden.llm.common import free_names, mix64, released
 
 GRAMS = (2, 3)
 BUCKETS = 1 << 16
@@ -173,5 +173,6 @@ def identify(df: DataFrame, id_col: str = "doc_id", fit_rows: int = FIT_ROWS) ->
 def accepted(df: DataFrame, id_col: str = "doc_id", least: float = 0.5) -> DataFrame:
     """The rows, with all their columns, whose language is known with a score of at least
     ``least``; junk without letters and texts of no learned language go."""
-    found = predict(df, fit(df, id_col), df.columns, ("lang__", "score__"))
-    return found.where((F.col("lang__") != UNKNOWN) & (F.col("score__") >= least)).select(*df.columns)
+    lang, score = free_names(df, "lang__", "score__")
+    found = predict(df, fit(df, id_col), df.columns, (lang, score))
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*df.columns)

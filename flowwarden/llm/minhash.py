@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowwarden.llm.common import kept, mix64, released, splits, stored, texts_of
+from flowwarden.llm.common import free_names, kept, mix64, released, splits, stored, texts_of
 from flowwarden.llm.components import components
 
 WORDS = 5
@@ -72,6 +72,10 @@ def _row_words(data: np.ndarray) -> np.ndarray:
             if not len(gaps):  # a word longer than a chunk
                 rest = np.flatnonzero(~_IS_WORD[data[at:]])
                 end = at + int(rest[0]) if len(rest) else len(data)
+                if end - at <= _CHUNK:  # just as long as a chunk: hashed like any word
+                    parts.append(_hash_words(data[at:end], np.array([0, end - at]))[0])
+                    at = end
+                    continue
                 digest = hashlib.blake2b(_LOWER[data[at:end]].tobytes(), digest_size=8).digest()
                 parts.append(np.frombuffer(digest, _U))
                 at = end
@@ -358,8 +362,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row, with all its columns, of each group of near-duplicates: the smallest id, and
     of rows that share it the one with the smallest text. Rows without an id all stay."""
+    (own,) = free_names(df, "kept__")
     found = near_duplicates(df, id_col, text_col).where("kept")
-    smallest = found.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("kept__")).distinct()
+    smallest = found.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias(own)).distinct()
     row = F.min_by(F.struct(*df.columns), F.coalesce(F.col(text_col), F.lit("")))
-    named = df.join(smallest, F.col(id_col) == F.col("kept__")).groupBy("kept__").agg(row.alias("row"))
+    named = df.join(smallest, F.col(id_col) == F.col(own)).groupBy(own).agg(row.alias("row"))
     return named.select("row.*").union(df.where(F.col(id_col).isNull()))

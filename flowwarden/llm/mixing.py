@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowwarden.llm.common import stored
+from flowwarden.llm.common import free_names, stored
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -156,14 +156,15 @@ def report(decided: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def mixed(df: DataFrame, decided: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The rows of the mix with all their columns, each as often as it is taken."""
+    names = free_names(df, "id__", "source__", "size__", "copies__", "row__")
+    own, source, size, copies, row = names
     marks = decided.where("copies > 0").select(
-        F.col("id").alias("id__"), F.col("source_key").alias("source__"), F.col("size").alias("size__"),
-        F.col("copies").alias("copies__"),
+        F.col("id").alias(own), F.col("source_key").alias(source), F.col("size").alias(size), F.col("copies").alias(copies)
     )
     same = (
-        F.col(id_col).eqNullSafe(F.col("id__"))
-        & (source_key(source_col) == F.col("source__"))
-        & (word_count(text_col) == F.col("size__"))
+        F.col(id_col).eqNullSafe(F.col(own))
+        & (source_key(source_col) == F.col(source))
+        & (word_count(text_col) == F.col(size))
     )
-    taken = df.join(marks, same).withColumn("row__", F.explode(F.sequence(F.lit(1).cast("long"), "copies__")))
+    taken = df.join(marks, same).withColumn(row, F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     return taken.select(*df.columns)

@@ -39,7 +39,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vafile.top_k(table(spark, sf_dir, "embeddings"))
+    found = vafile.top_k(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("score", F.col("score").cast("long"))  # beyond a long: an error
 
 
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -337,6 +337,26 @@ def test_warc_cut_short():
         list(warc.archive_chunks(io.BytesIO(record)))
 
 
+def test_pipeline_stages_with_clashing_columns(spark):
+    names = "lang__ SCORE__ id__ source__ size__ copies__ row__ kept__ row id text_ digest n component".split()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60")
+    wide = docs.selectExpr("*", *[f"{i} AS `{n}`" for i, n in enumerate(names)])
+    plain, rows = docs, wide
+    for name, stage in corpus_pipeline.STAGES:
+        plain, rows = stage(spark, plain, None), stage(spark, rows, None)
+        if name != "byte-level bpe":
+            assert rows.columns == wide.columns
+            assert rows.select([c for c in names]).distinct().count() <= 1
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_a_word_as_long_as_a_chunk(spark):
+    word = "a" * minhash._CHUNK
+    rows = [(1, word), (2, word + " "), (3, " " + word), (4, word + "a"), (5, word + "a ")]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows, names = docs, []

@@ -1,5 +1,6 @@
 """Byte-level BPE, token shards, language ID: against libraries and plain loops."""
 
+import math
 import random
 import struct
 import zlib
@@ -155,6 +156,54 @@ def test_language_brute_force(spark):
     assert kept.columns == df.columns and kept.where("doc_id BETWEEN 90 AND 92").count() == 0
 
 
+def plain_bucket(gram):
+    mask, value = (1 << 64) - 1, len(gram)
+    for char in gram:
+        value = (value + ord(char)) * 0x9E3779B97F4A7C15 & mask
+        value ^= value >> 29
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        value = (value ^ value >> shift) * factor & mask
+    return (value ^ value >> 31) & 0xFFFF
+
+
+def plain_grams(text):
+    padded = f" {text.lower()} "
+    return [plain_bucket(padded[i : i + n]) for n in (2, 3) for i in range(len(padded) - n + 1)]
+
+
+def test_language_equals_plain_naive_bayes(spark):
+    """Counts, smoothing, priors and posteriors anew, with dictionaries and logarithms."""
+    draw = random.Random(4)
+    vocabulary = {"en": "the house and dog of water stone", "es": "la casa y el perro de agua", "de": "das haus und der hund von"}
+    rows = []
+    for i in range(240):
+        lang = draw.choice(["en", "en", "es", "de"])
+        words = vocabulary[lang].split() + (vocabulary["es"].split() if i % 5 == 0 else [])
+        rows.append((i, " ".join(draw.choice(words) for _ in range(draw.randint(1, 12))), lang if i % 7 else None))
+    learned = [(t, lang) for i, t, lang in rows if lang and zlib.crc32(str(i).encode()) % 4 != 2]
+    languages = sorted({lang for _, lang in learned})
+    counts = {lang: {} for lang in languages}
+    for text, lang in learned:
+        for bucket in plain_grams(text):
+            counts[lang][bucket] = counts[lang].get(bucket, 0) + 1
+    want = {}
+    for i, text, _ in rows:
+        scores = []
+        for lang in languages:
+            total = sum(counts[lang].values()) + 0.5 * 65_536
+            score = math.log(sum(x == lang for _, x in learned) / len(learned))
+            score += sum(math.log((counts[lang].get(b, 0) + 0.5) / total) for b in plain_grams(text))
+            scores.append(score)
+        best = max(range(len(languages)), key=lambda k: (scores[k], -k))  # noqa: B023
+        want[i] = (languages[best], 1 / sum(math.exp(s - scores[best]) for s in scores))
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        lang, score = want[r["doc_id"]]
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=2e-4)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
 def test_language_without_labels(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert langid.identify(df).first()[1:] == (False, "und", 0.0)
