@@ -848,6 +848,14 @@ def mt4_safety(spark, sf):
     return found.select("uid", "src_ip", "ts_us", "action", "success", "notes")
 
 
+@query
+def mt4_ports(spark, sf):
+    """The same with protected ports: nothing that drops traffic to a hundred of them."""
+    rows = D.rule_alerts(busy(spark, sf)).select("uid", "ts_us", "src_ip", "dst_ip", "dst_port", "severity")
+    found = R.decide(rows, protected_ports=range(49152, 49252))
+    return found.select("uid", "src_ip", "ts_us", "action", "success", "notes")
+
+
 @query
 def mt5_expiry(spark, sf):
     rules = ledger(spark, sf)
@@ -969,6 +977,21 @@ def ga3_latent(spark, sf):
     return G.latent_samples(training(spark, sf))
 
 
+@query
+def ga3_totals(spark, sf):
+    """What must hold of latent samples: their number, their bounds, and means within a
+    deviation of the data's."""
+    rows, fitted = training(spark, sf), everything(spark, sf)
+    found = G.latent_samples(rows)
+    fine = F.lit(True)
+    for f in S.FEATURES:
+        fine = fine & F.coalesce(fn.constrain(f, F.col(f)) == F.col(f), F.lit(False))
+    near = F.lit(True)
+    for f in S.FEATURES:
+        near = near & (F.abs(F.avg(f) - fitted.mean[f]) <= fitted.variance[f] ** 0.5 + 1e-6)
+    return found.agg(F.count("*").alias("n"), F.count_if(fine).alias("within_bounds"), near.alias("means_near"))
+
+
 def _frozen_score(spark: SparkSession, sf: str) -> G.Score:
     fixed = baseline(spark, sf)
 
@@ -1019,6 +1042,19 @@ def ga6_union(spark, sf):
     return G.augment(training(spark, sf), 3, _frozen_score(spark, sf))
 
 
+@query
+def ga6_totals(spark, sf):
+    """Rows of the union by the way they were made, and how many bear a known label."""
+    found = G.augment(training(spark, sf), 3, _frozen_score(spark, sf))
+    kind = (
+        F.when(F.col("id").contains("#g"), "noise").when(F.col("id").contains("#m"), "mixed")
+        .when(F.col("id").contains("#b"), "searched").when(F.col("id").startswith("latent-"), "latent").otherwise("given")
+    )
+    return found.groupBy(kind.alias("kind")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("label").isin(S.LABELS)).alias("labelled")
+    )
+
+
 @query
 def ga7_upsample(spark, sf):
     rows = training(spark, sf)

