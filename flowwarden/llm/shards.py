@@ -14,6 +14,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import public_tokenizers
@@ -48,7 +49,7 @@ class WordEncoder:
     told otherwise; without, they are text like any other.
     """
 
-    def __init__(self, path: str, max_words: int = 600_000, added: bool = False):
+    def __init__(self, path: str, max_words: int = 1_500_000, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -62,7 +63,7 @@ class WordEncoder:
         for word, found in zip(
             missing, self._library.encode_batch_fast(missing, add_special_tokens=False), strict=True
         ):
-            self._words[word] = np.array(found.ids, "<u4").tobytes()
+            self._words[word] = pack(f"<{len(found)}I", *found.ids)
 
     def encode(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
