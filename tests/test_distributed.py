@@ -139,6 +139,41 @@ def test_running_moments(spark, crowded, keys, slice_rows):
         assert (r["_m2_v"] / n if n else 0) ** 0.5 == pytest.approx(std, abs=1e-12)
 
 
+def test_running_moments_send_a_row_once(spark, crowded):
+    """Behind the slices the rows are shuffled once more, a slice to a task of its own, and not
+    joined with what lies before them."""
+    found = slices.running_moments(crowded, "t", "id", ["v"], slice_rows=100)
+    sizes = found.groupBy(F.spark_partition_id().alias("p")).count()
+    assert sizes.count() > 10 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionBy") == 1
+
+
+@pytest.mark.parametrize("keys", [[], ["key"]])
+def test_running_moments_of_gaps(spark, crowded, keys):
+    """A missing value counts as a row and leaves mean and deviation as they are; what was seen
+    before comes in front of every key."""
+    gaps = crowded.withColumns({"v": F.when(F.col("id") % 4 > 0, F.col("v")), "key": F.when(F.col("key") != "k1", F.col("key"))})
+    rows = sorted(gaps.collect(), key=lambda r: (r["t"], hashlib.md5(str(r["id"]).encode()).hexdigest()))
+    for start in (None, (4.0, {"v": 10.0}, {"v": 36.0})):
+        found = {r["id"]: r for r in slices.running_moments(gaps, "t", "id", ["v"], keys, 3000, start).collect()}
+        seen, n = {}, {}
+        for r in rows:
+            key = r["key"] if keys else ""
+            before, m = seen.setdefault(key, []), n.get(key, 0)
+            if before:
+                mean, m2 = statistics.fmean(before), statistics.pvariance(before) * m
+                if start:
+                    away = mean - 10
+                    mean, m2 = 10 + away * m / (m + 4), 36 + m2 + away * away * 4 * m / (m + 4)
+                assert found[r["id"]]["_mean_v"] == pytest.approx(mean, abs=1e-9)
+                assert found[r["id"]]["_m2_v"] == pytest.approx(m2, abs=1e-7)
+            assert found[r["id"]]["_n"] == m + (4 if start else 0)
+            n[key] = m + 1
+            if r["v"] is not None:
+                before.append(r["v"])
+
+
 @pytest.mark.parametrize("instant", [False, True])
 def test_running_moments_far_from_zero(spark, instant):
     """Deviation 2 around 10^12, also where one instant holds all rows and where early rows lie
