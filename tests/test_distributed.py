@@ -5,6 +5,7 @@ import random
 import statistics
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -310,3 +311,19 @@ def test_history_filters_before_it_cuts(spark):
     alerts = events.withColumnRenamed("event_id", "uid")
     assert quality.latest_alerts(alerts, 1000).count() == 1000
     assert quality.warm_up(alerts, 600).count() == 600
+
+
+def test_rows_without_a_start_of_their_own_bear_an_empty_list():
+    """Null lists make Arrow's writer fill all offsets of a batch again after every row."""
+    batch = pa.RecordBatch.from_pydict(
+        {
+            "x": pa.array([None, 1.0, 3.0, 8.0]),
+            slices.SLICE: pa.array([0] * 4, pa.int32()),
+            "_before": pa.array([[2.0, 5.0, 2.0], [], [], []], pa.list_(pa.float64())),
+            "_group": [""] * 4,
+        }
+    )
+    (out,) = slices._walk_moments(["x"], ["x"], [0.0], None)(iter([batch]))
+    assert out["x"].to_pylist() == [1.0, 3.0, 8.0]
+    assert out["_n"].to_pylist() == [2.0, 3.0, 4.0]
+    assert out["_mean_x"].to_pylist() == pytest.approx([5.0, 11 / 3, 3.5])
