@@ -327,3 +327,10 @@ def test_rows_without_a_start_of_their_own_bear_an_empty_list():
     assert out["x"].to_pylist() == [1.0, 3.0, 8.0]
     assert out["_n"].to_pylist() == [2.0, 3.0, 4.0]
     assert out["_mean_x"].to_pylist() == pytest.approx([5.0, 11 / 3, 3.5])
+
+
+def test_cooldown_finds_its_alerts_once(spark):
+    rows = spark.createDataFrame([("h", 1, "u"), ("h", 2, "v")], "src_ip string, ts_us bigint, uid string")
+    judged = cooldown_status(rows.withColumn("safe", F.expr("uid <> 'costly'")), 5)
+    assert "costly" not in judged._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["uid"]: r["status"] for r in judged.collect()} == {"u": "taken", "v": "cooldown"}

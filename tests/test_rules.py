@@ -1,11 +1,16 @@
 """Rows just inside and just outside every rule limit."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from flowwarden import schema as S
 from flowwarden.operators import link_rules as L
 from flowwarden.operators import signatures as D
+from flowwarden.plans import catalog
 
+DATA = "/root/testdata/sf0.001"
 QUIET = {
     "flow_duration": 1.0, "pkt_count": 5, "byte_count": 500, "bytes_per_pkt": 100.0,
     "src_port": 40000, "dst_port": 20000, "protocol_id": 1, "function_code": 1,
@@ -110,3 +115,21 @@ def test_link_score_is_capped(links):
     scores = [r["anomaly_score"] for r in L.annotate(links).collect()]
     assert max(scores) == 1.0 and min(scores) == 0.0
     assert L.annotate(links).where("anomaly_score = 0 AND anomaly_label <> 'normal'").count() == 0
+
+
+def test_rule_matching_stays_within_methods_that_the_jvm_compiles(spark):
+    """HotSpot leaves methods of more than 8,000 bytes of code to its interpreter."""
+    show = spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString
+    for found in (catalog.busy_alerts(spark, DATA), catalog.outcomes(spark, DATA)):
+        sizes = re.findall(r"maxMethodCodeSize:(\d+)", show(found._jdf.queryExecution().executedPlan()))
+        assert all(int(s) <= 8000 for s in sizes), sizes
+
+
+def test_equal_rules_go_by_place_and_rules_that_fail_do_not_win(spark):
+    rows = spark.createDataFrame([(1, 5.0), (2, 0.5), (3, None)], "uid int, x double")
+    def rule(name, least, confidence):
+        return D.Signature(name, name.upper(), D.when_true(lambda: F.col("x") > least, confidence))
+    rules = [rule("low", 0.1, 0.4), rule("first", 1.0, 0.9), rule("second", 1.0, 0.9), rule("nothing", 0.0, 0.0)]
+    found = {r["uid"]: (r["rule_score"], r["rule_name"], r["rule_attack"]) for r in D.best_match(rows, rules).collect()}
+    assert found == {1: (0.9, "first", "FIRST"), 2: (0.4, "low", "LOW"), 3: (0.0, None, None)}
+    assert D.best_match(rows, []).where("rule_score = 0 AND rule_name IS NULL").count() == 3
