@@ -334,3 +334,16 @@ def test_cooldown_finds_its_alerts_once(spark):
     judged = cooldown_status(rows.withColumn("safe", F.expr("uid <> 'costly'")), 5)
     assert "costly" not in judged._jdf.queryExecution().optimizedPlan().toString()
     assert {r["uid"]: r["status"] for r in judged.collect()} == {"u": "taken", "v": "cooldown"}
+
+
+def test_nearest_compares_few_where_queries_lie_off_the_data(spark):
+    """Queries between two crowds, just past the cut that ends the nearer one."""
+    place = [f"pmod(xxhash64(id, {i}), 30000) / 1e3 AS {c}" for i, c in enumerate("yz")]
+    refs = spark.range(20_000).selectExpr("id AS ref_id", "'l' AS ref_label", "if(id % 5 < 3, 1000, id / 2e4) AS x", *place)
+    asked = spark.range(20_000, 20_200).selectExpr("id", "id / 1e4 AS x", *place)
+    found = {r["id"]: r for r in nearest(asked, refs, ["x", "y", "z"], leaf=64).collect()}
+    known = refs.toPandas()[["x", "y", "z"]].to_numpy(float)
+    for r in asked.collect():
+        d2 = ((known - np.array([float(r["x"]), float(r["y"]), float(r["z"])])) ** 2).sum(axis=1)
+        assert abs(found[r["id"]]["d2"] - d2.min()) <= 1e-9
+    assert np.mean([r["compared"] for r in found.values()]) < 2_000
