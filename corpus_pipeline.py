@@ -25,8 +25,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Numbers and digests of the ids of every document of the mix and of the text that
-    decoding them gives back."""
-    return encode.digests(encode.encode(docs, decoded=True))
+    decoding them gives back. Encoders are small, since the stages before leave executors full."""
+    return encode.digests(encode.encode(docs, decoded=True, max_words=200_000, max_states=100_000))
 
 
 STAGES = [

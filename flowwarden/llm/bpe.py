@@ -18,9 +18,12 @@ import regex
 
 FREE = -1
 _NOWHERE = (FREE, FREE)
+_LEAF: dict[int, tuple[int, int]] = {}
 #: A start with more possible tokens than this counts as open without a look at each.
 FEW = 32
 _NEVER = 1 << 62
+#: What an encoder keeps: states of the transducer, words with their ids.
+MAX_STATES, MAX_WORDS = 300_000, 600_000
 #: A start of a state: trie node or FREE, index of the start before, token from there.
 _START = "=iii"
 
@@ -54,12 +57,13 @@ class Vocabulary:
                 node = following
             token_at[node] = rank
         #: For each trie node and byte: the node below (FREE at a leaf) and its token or FREE.
-        self.arcs = [
-            {byte: (to if children[to] else FREE, token_at[to]) for byte, to in down.items()}
-            for down in children
-        ]
+        self.arcs: list[dict[int, tuple[int, int]]] = []
+        for down in children:
+            for byte, to in down.items():
+                down[byte] = (to if children[to] else FREE, token_at[to])
+            self.arcs.append(down or _LEAF)
         #: Tokens strictly below a node, up to one more than FEW.
-        self.below = below
+        self.below = [found or () for found in below]
         self._edges: dict[int, tuple] = {}
 
     def merges(self, piece: bytes) -> list[list[bytes]]:
@@ -123,9 +127,11 @@ class Transducer:
     """Encodes pieces byte by byte. At most ``max_states`` states are kept; beyond that
     all are forgotten and made again when met, which changes no result."""
 
-    def __init__(self, vocabulary: Vocabulary, max_states: int = 300_000):
+    def __init__(self, vocabulary: Vocabulary, max_states: int = MAX_STATES):
         self.vocabulary = vocabulary
         self.max_states = max_states
+        #: Answers about pairs, kept beyond the states: fewer where there are fewer states.
+        self.max_answers = max_states * 5 // 6
         self._apart: dict[int, bool] = {}
         self._continues: dict[int, bool] = {}
         self._alone: dict[int, bool] = {}
@@ -150,7 +156,7 @@ class Transducer:
         key = before << 32 | token
         found = self._apart.get(key)
         if found is None:
-            if len(self._apart) > 250_000:
+            if len(self._apart) > self.max_answers:
                 self._apart.clear()
             found = self._apart[key] = known.apart(before, token)
         return found
@@ -163,7 +169,7 @@ class Transducer:
         key = before << 32 | node
         found = self._continues.get(key)
         if found is None:
-            if len(self._continues) > 250_000:
+            if len(self._continues) > self.max_answers:
                 self._continues.clear()
             apart = self.vocabulary.apart
             found = self._continues[key] = any(apart(before, token) for token in below)
@@ -256,14 +262,18 @@ class Transducer:
 
 class TextEncoder:
     """Encodes whole texts: cuts them by the pattern and sends pieces through the
-    transducer. Words met before are kept, at most ``max_words``, then forgotten."""
+    transducer. Words met before are kept, at most ``max_words``: when half as many are new,
+    those not met since the last time are forgotten."""
 
-    def __init__(self, vocabulary: Vocabulary, pattern: str, max_words: int = 600_000):
-        self.transducer = Transducer(vocabulary)
+    def __init__(
+        self, vocabulary: Vocabulary, pattern: str, max_words: int = MAX_WORDS, max_states: int = MAX_STATES
+    ):
+        self.transducer = Transducer(vocabulary, max_states)
         self.tokens = vocabulary.tokens
         self.pattern = regex.compile(pattern)
         self.max_words = max_words
         self._words: dict[str, bytes | None] = {}
+        self._older: dict[str, bytes | None] = {}
 
     def pieces(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers, cut by the pattern directly."""
@@ -291,11 +301,12 @@ class TextEncoder:
         head, *words = text.replace("\n", " \n").split(" ")
         known = self._words
         if missing := set(words).difference(known):
-            if len(known) + len(missing) > self.max_words:
-                known.clear()
-                missing = set(words)
+            if 2 * (len(known) + len(missing)) > self.max_words:
+                self._older, self._words = known, {}
+                known, missing = self._words, set(words)
+            older = self._older
             for word in missing:
-                known[word] = self._word(word)
+                known[word] = older[word] if word in older else self._word(word)
         found = list(map(known.__getitem__, words))
         if None in found:
             return self.pieces(text)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowwarden.llm.bpe import StreamingDecoder, TextEncoder, Vocabulary, ranks_of
+from flowwarden.llm.bpe import MAX_STATES, MAX_WORDS, StreamingDecoder, TextEncoder, Vocabulary, ranks_of
 from flowwarden.llm.common import kept, released
 
 _SLICE = 512
@@ -27,9 +27,10 @@ def _tokens(path: str) -> dict[int, bytes]:
     return kept(("tokens", path), lambda: {rank: token for token, rank in ranks_of(path).items()})
 
 
-def _encoder(path: str, pattern: str) -> TextEncoder:
+def _encoder(path: str, pattern: str, words: int, states: int) -> TextEncoder:
     """One encoder per Python worker: its states and words serve all tasks of the worker."""
-    return kept(("byte-level", path, pattern), lambda: TextEncoder(Vocabulary(ranks_of(path)), pattern))
+    key = ("byte-level", path, pattern, words, states)
+    return kept(key, lambda: TextEncoder(Vocabulary(ranks_of(path)), pattern, words, states))
 
 
 def _lists(found: list[bytes]) -> pa.Array:
@@ -51,16 +52,19 @@ def encode(
     vocabulary: str | None = None,
     pattern: str = public_tokenizers.PATTERN,
     decoded: bool = False,
+    max_words: int = MAX_WORDS,
+    max_states: int = MAX_STATES,
 ) -> DataFrame:
     """Returns id_col and ids (array<int>) for every row, repeated rows included; a null or
     empty text has no ids. With ``decoded`` the ids are decoded again in the same pass, into
     a column of that name. Other columns don't matter, whatever their names. A row's ids
-    depend on its text alone. The vocabulary file must exist on every machine."""
+    depend on its text alone. A worker keeps ``max_words`` and ``max_states`` at most; fewer
+    take less memory and more time. The vocabulary file must exist on every machine."""
     path = vocabulary or vocabulary_path()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         released("byte-level")
-        coder = _encoder(path, pattern)
+        coder = _encoder(path, pattern, max_words, max_states)
         gc.disable()  # the transducer's many small objects hold no cycles
         try:
             for batch in batches:

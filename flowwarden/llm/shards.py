@@ -30,6 +30,8 @@ END_ID = 1
 #: Documents, and bytes of each, that the dictionary is trained on (in expectation).
 SAMPLE_ROWS, SAMPLE_BYTES = 2_000, 16_384
 DICTIONARY_BYTES = 65_536
+#: New words that the library sees as one text.
+_JOINED = 1_000
 _MAGIC = b"IDX1"
 _HEADER = "<4sQIQ"
 _ROW = np.dtype([("id", "<i8"), ("null", "u1"), ("start", "<i8"), ("n", "<i8"), ("at", "<i8")])
@@ -44,7 +46,8 @@ class WordEncoder:
 
     The file's rules turn runs of white space into one blank, lower-case letter by letter
     and never join across white space, so a text's ids are those of its parts between blanks
-    and line ends. At most ``max_words`` are kept, then all are forgotten. With ``added`` the
+    and line ends. New words of letters are joined to one text, whose ids fall apart again
+    at the vocabulary's ends of words. At most ``max_words`` are kept, then all are forgotten. With ``added`` the
     file's added tokens, which hold no blank, are found in a text as the library does unless
     told otherwise; without, they are text like any other.
     """
@@ -58,11 +61,38 @@ class WordEncoder:
         self.size = self._library.get_vocab_size()
         self.max_words = max_words
         self._words: dict[str, bytes] = {}
+        self._ends = self._word_ends()
+
+    def _word_ends(self) -> np.ndarray | None:
+        """For each id whether it ends a word; None where a word might end without such an id."""
+        suffix = getattr(self._library.model, "end_of_word_suffix", None)
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        known = self._library.get_vocab()
+        if not suffix or not all(x + suffix in known for x in ByteLevel.alphabet()):
+            return None
+        ends = np.zeros(max(known.values()) + 1, bool)
+        ends[[number for token, number in known.items() if token.endswith(suffix)]] = True
+        return ends
 
     def _learn(self, missing: list[str]) -> None:
-        for word, found in zip(
-            missing, self._library.encode_batch_fast(missing, add_special_tokens=False), strict=True
-        ):
+        library, joined = self._library, []
+        if self._ends is not None:
+            joined = [w for w in missing if w.isalpha()]
+            missing = [w for w in missing if not w.isalpha()]
+        blocks = [joined[i : i + _JOINED] for i in range(0, len(joined), _JOINED)]
+        texts = [" ".join(block) for block in blocks]
+        for block, found in zip(blocks, library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            cuts = (np.flatnonzero(self._ends[ids]) + 1) * 4
+            if len(cuts) != len(block):  # every word has an end, so some word has several
+                missing += block
+                continue
+            data, at = ids.tobytes(), 0
+            for word, end in zip(block, cuts.tolist(), strict=True):
+                self._words[word] = data[at:end]
+                at = end
+        for word, found in zip(missing, library.encode_batch_fast(missing, add_special_tokens=False), strict=True):
             self._words[word] = pack(f"<{len(found)}I", *found.ids)
 
     def encode(self, text: str) -> bytes:
