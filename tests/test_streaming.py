@@ -181,3 +181,15 @@ def test_all_kinds_of_notices(spark):
     names = [[r["identifier"] for r in p.select("identifier").collect()] for p in parts]
     assert all(names)
     assert sorted(found) == sorted(n for kind in names for n in kind)
+
+
+def test_state_of_connections_is_kept_by_bucket(spark):
+    # a state key of its own for every connection made the store's calls grow with their number
+    names = "uid string, t_us long, orig_h string, resp_h string, resp_p int, fc int, is_orig boolean, is_error boolean, bytes long, event_id long"
+    rows = [(f"c{i % 300}", (i + 1) * 10_000, "a", "b", 1, 3, True, False, 1, i) for i in range(900)]
+    feed = Feed(spark, names, "t_us", lambda s: jobs.closed_connections(s, 2.0, "5 seconds", buckets=4), "buckets")
+    assert feed.run(rows[:500]) == feed.run(rows[500:]) == 0
+    keys = spark.read.format("statestore").option("stateVarName", "known").load(feed.checkpoint).count()
+    assert keys <= 4
+    found = feed.end()
+    assert found.count() == 900 and found.agg(F.sum("orig_pkts")).first()[0] == 900
