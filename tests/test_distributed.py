@@ -10,11 +10,16 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from flowwarden import schema as S
 from flowwarden.operators import connections as C
 from flowwarden.operators import response as R
 from flowwarden.operators import slices
 from flowwarden.operators.cooldown import NEVER, cooldown_status
 from flowwarden.operators.neighbours import nearest
+from flowwarden.plans import catalog
+from flowwarden.plans import fixtures as X
+from flowwarden.plans import logs_fixture as W
+from flowwarden.sources import logs
 
 
 def walk(rows, cooldown):
@@ -347,3 +352,20 @@ def test_nearest_compares_few_where_queries_lie_off_the_data(spark):
         d2 = ((known - np.array([float(r["x"]), float(r["y"]), float(r["z"])])) ** 2).sum(axis=1)
         assert abs(found[r["id"]]["d2"] - d2.min()) <= 1e-9
     assert np.mean([r["compared"] for r in found.values()]) < 2_000
+
+
+def test_logs_are_packed_and_the_last_record_still_wins(spark, monkeypatch, tmp_path):
+    """A log of many packed files reads like the same lines in one plain file."""
+    monkeypatch.setattr(catalog, "LOG_LINES", 500)
+    monkeypatch.setattr(catalog, "_SHARED", {})
+    packed = catalog.connection_log(spark, "/root/testdata/sf0.001")
+    files = spark.read.text(packed).select("_metadata.file_name").distinct().collect()
+    assert len(files) > 5 and all(f.file_name.endswith(".gz") for f in files)
+    lines = W.connection_lines(X.flows(spark, "/root/testdata/sf0.001"))
+    lines.coalesce(1).write.text(str(tmp_path / "plain"))
+
+    def last(path):
+        log = logs.read_json_log(spark, path, S.CONNECTION_LOG)
+        return sorted(logs.last_record(log.select("uid", "orig_pkts", "_at")).collect())
+
+    assert last(packed) == last(str(tmp_path / "plain"))
