@@ -3,6 +3,7 @@
 import hashlib
 import random
 import statistics
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +16,11 @@ from flowwarden.operators import connections as C
 from flowwarden.operators import response as R
 from flowwarden.operators import slices
 from flowwarden.operators.cooldown import NEVER, cooldown_status
-from flowwarden.operators.neighbours import nearest
+from flowwarden.operators.neighbours import index, nearest, search
 from flowwarden.plans import catalog
 from flowwarden.plans import fixtures as X
 from flowwarden.plans import logs_fixture as W
+from flowwarden.session import scratch_root
 from flowwarden.sources import logs
 
 
@@ -369,3 +371,22 @@ def test_logs_are_packed_and_the_last_record_still_wins(spark, monkeypatch, tmp_
         return sorted(logs.last_record(log.select("uid", "orig_pkts", "_at")).collect())
 
     assert last(packed) == last(str(tmp_path / "plain"))
+
+
+def test_searches_share_an_index_and_leave_no_copies(spark):
+    """Labels of two searches over one index; what only led to a stored table is deleted."""
+    rows = spark.createDataFrame([(f"r{i}", "ab"[i % 2], float(i), float(i * i % 7)) for i in range(300)],
+                                 "ref_id string, ref_label string, x double, y double")
+    queries = [spark.createDataFrame([(f"q{i}", i + 0.2, 1.0) for i in part], "id string, x double, y double")
+               for part in (range(0, 40), range(200, 240))]
+    before = set(Path(scratch_root(spark)).iterdir())
+    refs = index(rows, ["x", "y"], leaf=32)
+    for part in queries:
+        kept, found = search(part, refs, ["x", "y"])
+        assert sorted(kept.collect()) == sorted(part.collect())
+        wanted = {q.id: min(((q.x - r.x) ** 2 + (q.y - r.y) ** 2, r.ref_id) for r in rows.collect()) for q in part.collect()}
+        got = {r.id: (r.d2, r.ref_id) for r in found.collect()}
+        assert {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in wanted.items()}
+    names = [p.name.split("-")[0] for p in set(Path(scratch_root(spark)).iterdir()) - before]
+    assert names.count("placed") == 1 and names.count("reached") == 2
+    assert "unique" not in names and "homes" not in names
